@@ -8,19 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import pieces, runtime
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .packing import pack
 from .token_counts import count_tokens
 
 
+def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(runtime.read_table(spark, sf_dir, "documents"), amount=1.5, most=2.0).drop("copies")
+
+
 def op7_tree_merge_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(runtime.read_table(spark, sf_dir, "documents"))
 
 
+def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(runtime.read_table(spark, sf_dir, "documents"), pieces.tokenizer_path("word_bpe_49k.json"), capacity=2048, end=0)
+
+
 def op10_arrow_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(runtime.read_table(spark, sf_dir, "documents"), pieces.tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pivotal_mixing": op4_pivotal_mixing,
     "op7_tree_merge_exact_dedup": op7_tree_merge_exact_dedup,
+    "op9_hierarchical_packing": op9_hierarchical_packing,
     "op10_arrow_token_counts": op10_arrow_token_counts,
 }
 

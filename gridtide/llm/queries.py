@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import pieces, runtime
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -21,6 +22,10 @@ def op7_tree_merge_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(runtime.read_table(spark, sf_dir, "documents"))
 
 
+def op8_signature_join_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(runtime.read_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(runtime.read_table(spark, sf_dir, "documents"), pieces.tokenizer_path("word_bpe_49k.json"), capacity=2048, end=0)
 
@@ -32,6 +37,7 @@ def op10_arrow_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op7_tree_merge_exact_dedup": op7_tree_merge_exact_dedup,
+    "op8_signature_join_near_dedup": op8_signature_join_near_dedup,
     "op9_hierarchical_packing": op9_hierarchical_packing,
     "op10_arrow_token_counts": op10_arrow_token_counts,
 }

@@ -12,6 +12,11 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
 from .token_counts import count_tokens
+from .vector_dedup import near_vectors
+
+
+def op1_p_stable_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(runtime.read_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +40,7 @@ def op10_arrow_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_p_stable_vector_dedup": op1_p_stable_vector_dedup,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op7_tree_merge_exact_dedup": op7_tree_merge_exact_dedup,
     "op8_signature_join_near_dedup": op8_signature_join_near_dedup,

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import pieces, runtime
 from .exact_dedup import exact_dedup
+from .langid import identify_language
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
+from .quality import score_quality
 from .token_counts import count_tokens
 from .vector_dedup import near_vectors
 
@@ -19,10 +21,18 @@ def op1_p_stable_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(runtime.read_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(runtime.read_table(spark, sf_dir, "documents"), runtime.read_table(spark, sf_dir, "labels"), fold=1, folds=3)
+
+
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(runtime.read_table(spark, sf_dir, "documents"), amount=1.5, most=2.0).drop("copies")
 
 
+def op5_backoff_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(runtime.read_table(spark, sf_dir, "documents"), fold=2, folds=4)
+
+
 def op7_tree_merge_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(runtime.read_table(spark, sf_dir, "documents"))
 
@@ -41,7 +51,9 @@ def op10_arrow_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_p_stable_vector_dedup": op1_p_stable_vector_dedup,
+    "op3_bradley_terry_quality": op3_bradley_terry_quality,
     "op4_pivotal_mixing": op4_pivotal_mixing,
+    "op5_backoff_language_id": op5_backoff_language_id,
     "op7_tree_merge_exact_dedup": op7_tree_merge_exact_dedup,
     "op8_signature_join_near_dedup": op8_signature_join_near_dedup,
     "op9_hierarchical_packing": op9_hierarchical_packing,

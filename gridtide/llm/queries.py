@@ -14,6 +14,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .quality import score_quality
 from .token_counts import count_tokens
+from .token_output import tokenize_corpus
 from .vector_dedup import near_vectors
 
 
@@ -21,6 +22,10 @@ def op1_p_stable_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(runtime.read_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op2_context_mixing_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_corpus(runtime.read_table(spark, sf_dir, "documents"), pieces.tokenizer_path("byte_bpe_50k.json"), end=2)
+
+
 def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(runtime.read_table(spark, sf_dir, "documents"), runtime.read_table(spark, sf_dir, "labels"), fold=1, folds=3)
 
@@ -51,6 +56,7 @@ def op10_arrow_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_p_stable_vector_dedup": op1_p_stable_vector_dedup,
+    "op2_context_mixing_token_output": op2_context_mixing_token_output,
     "op3_bradley_terry_quality": op3_bradley_terry_quality,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op5_backoff_language_id": op5_backoff_language_id,

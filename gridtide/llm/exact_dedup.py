@@ -68,3 +68,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; rows that repeat an id and a text go as well.
+
+    Rows with a null id stay, but for repeated ones of the same text. Other cases: as ``exact_dedup``.
+    """
+    decided = exact_dedup(docs, id_col, text_col)
+    dropped = decided.filter("NOT kept").select(id_col).distinct()
+    left = docs.join(dropped, id_col, "left_anti").select(docs.columns)
+    if decided.groupBy(id_col, "text_sha256").count().filter("count > 1").isEmpty():
+        return left
+    keyed = left.withColumn("__text", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    return keyed.dropDuplicates([id_col, "__text"]).select(docs.columns)

@@ -101,15 +101,42 @@ def fit_ranking(x: np.ndarray, good: np.ndarray, pairs: int = MAX_PAIRS, ridge:
     return Ranking(mean, scale, w, float(cuts[best[len(best) // 2]]))
 
 
-def _feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _features(texts: pa.Array) -> np.ndarray:
+    return np.array([text_features(t.as_py()) for t in texts], np.float64).reshape(-1, len(FEATURES))
+
+
+def _fold(c: str, folds: int) -> F.Column:
+    return F.crc32(F.col(c).cast("string")) % folds
+
+
+def learn_quality(
+    docs: DataFrame, labels: DataFrame, fold: int | None = 1, folds: int = 3, max_labelled: int = MAX_LABELLED,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+) -> Ranking:
+    """Learn from labelled documents whose ``crc32(id as text) mod folds`` is not ``fold``.
+
+    All of them up to ``max_labelled``, beyond it about so many, drawn by a hash
+    of the id; these alone, with their features, come to the driver.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
+    if fold is not None:
+        known = known.filter(_fold("id", folds) != fold)
+    n = known.count()
+    if n > max_labelled:
+        known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([text_features(t.as_py()) for t in batch.column(1)], np.float64).reshape(-1)
             offsets = pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x))], names=["id", "x"])
+            x = pa.ListArray.from_arrays(offsets, pa.array(_features(batch.column(1)).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), x, batch.column(2)], names=["id", "x", "label"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, x array<double>")
+    kind = rows.schema["id"].dataType.simpleString()
+    sample = rows.select("id", "text", F.col("label").cast("int")).mapInArrow(run, f"id {kind}, x array<double>, label int").toArrow()
+    sample = sample.take(pa.array(sorted(range(sample.num_rows), key=list(zip(sample["id"].to_pylist(), sample["label"].to_pylist(), sample["x"].to_pylist(), strict=True)).__getitem__), pa.int64()))
+    x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
+    return fit_ranking(x, sample.column("label").to_numpy() == 1)
 
 
 def score_quality(
@@ -118,10 +145,8 @@ def score_quality(
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``score`` and ``predicted``.
 
-    Learns from ``labels`` (id, ``label_col`` 0 or 1) of documents whose
-    ``crc32(id as text) mod folds`` is not ``fold``: of all of them up to
-    ``max_labelled``, beyond it of about so many, drawn by a hash of the id. Only the
-    text makes the score, which is 0 to 1; ``predicted`` is 1 from 0.5 on.
+    Learns as ``learn_quality`` does. Only the whole text makes the score, which is
+    0 to 1; ``predicted`` is 1 from 0.5 on.
 
     Null, empty and blank texts have all features zero and get their score.
     Null ids are never learned from and count as not held out; null labels are
@@ -130,21 +155,28 @@ def score_quality(
     no error; further columns are ignored, whatever their names.
     """
     runtime.prepare(docs.sparkSession)
-    features = runtime.write_table(_feature_table(docs, id_col, text_col), "features")
-    fold_of = lambda c: F.crc32(F.col(c).cast("string")) % folds
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id IS NOT NULL AND label IS NOT NULL").filter(fold_of("id") != fold)
-    n = known.count()
-    if n > max_labelled:
-        known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
-    sample = known.join(features, "id").select("id", "x", "label").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
-    model = fit_ranking(x, sample.column("label").to_numpy() == 1)
+    model = learn_quality(docs, labels, fold, folds, max_labelled, id_col, text_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(np.asarray(batch.column(1).flatten()).reshape(-1, len(FEATURES)))
+            score = model.score(_features(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
-    kind = features.schema["id"].dataType.simpleString()
-    scored = features.mapInArrow(run, f"id {kind}, score double, predicted int")
-    return scored.select(F.col("id").alias(id_col), F.coalesce(fold_of("id") == fold, F.lit(False)).alias("held_out"), "score", "predicted")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    scored = rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, score double, predicted int")
+    return scored.select(F.col("id").alias(id_col), F.coalesce(_fold("id", folds) == fold, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col: str = "text", **learning) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns, in one pass and without a shuffle.
+
+    Nulls, empty texts, repeated rows and empty tables: as ``score_quality``.
+    """
+    runtime.prepare(docs.sparkSession)
+    model, place = learn_quality(docs, labels, text_col=text_col, **learning), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(_features(batch.column(place))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

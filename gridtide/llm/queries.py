@@ -16,6 +16,7 @@ from .quality import score_quality
 from .token_counts import count_tokens
 from .token_output import tokenize_corpus
 from .vector_dedup import near_vectors
+from .warc import fixity
 
 
 def op1_p_stable_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op5_backoff_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(runtime.read_table(spark, sf_dir, "documents"), fold=2, folds=4)
 
 
+def op6_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity(runtime.read_table(spark, sf_dir, "pages"))
+
+
 def op7_tree_merge_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(runtime.read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bradley_terry_quality": op3_bradley_terry_quality,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op5_backoff_language_id": op5_backoff_language_id,
+    "op6_merkle_fixity_audit": op6_merkle_fixity_audit,
     "op7_tree_merge_exact_dedup": op7_tree_merge_exact_dedup,
     "op8_signature_join_near_dedup": op8_signature_join_near_dedup,
     "op9_hierarchical_packing": op9_hierarchical_packing,
@@ -67,6 +73,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_merkle_fixity_audit": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, md5(coalesce(CAST(page_id AS VARCHAR), '')) AS k,
+                          replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url, chr(13) || chr(10) AS nl FROM pages),
+        r AS (
+            SELECT page_id,
+                   'WARC/1.0' || nl || 'WARC-Type: resource' || nl
+                   || 'WARC-Record-ID: <urn:uuid:' || substr(k, 1, 8) || '-' || substr(k, 9, 4) || '-' || substr(k, 13, 4)
+                   || '-' || substr(k, 17, 4) || '-' || substr(k, 21, 12) || '>' || nl
+                   || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || url || nl
+                   || 'Content-Type: text/html; charset=utf-8' || nl
+                   || 'Content-Length: ' || CAST(strlen(body) AS VARCHAR) || nl || nl || body || nl || nl AS record
+            FROM p)
+        SELECT page_id, CAST(strlen(record) AS BIGINT) AS n_bytes, sha256(record) AS record_sha256, true AS intact FROM r
+    """,
     "op7_tree_merge_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -18,15 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import runtime
+from . import blocks, runtime
 from .components import connected_components
 
 #: Quantisation width for unit vectors.
 WIDTH = 1.5
 #: Chance to miss a pair just at the threshold; unrelated vectors that a bucket may hold on average.
 MISS, STRANGERS = 0.003, 32
-#: Vectors of a block; two blocks meet in one matrix product.
-BLOCK = 512
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -103,33 +101,18 @@ def _bucketed(classes: DataFrame, projections: int, tables: int) -> DataFrame:
     return rows.mapInArrow(run, f"rep {rows.schema[0].dataType.simpleString()}, keys array<bigint>")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` nodes the least node that the links (a, b) reach."""
-    least = np.arange(n)
-    while True:
-        low = np.minimum(least[a], least[b])
-        new = least.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == least).all():
-            return least
-        least = new
-
-
 def _compare(cosine: float):
     """Sorted rows of block pairs in; ``rep, links, other`` out: link counts, and a forest's links where not null."""
 
-    def pairs(group: pa.Table) -> pa.RecordBatch | None:
-        t, first, second = (group.column(c)[0].as_py() for c in ("t", "i", "j"))
-        vectors = np.stack([_unit(np.frombuffer(x)) for x in group.column("vec").to_pylist()])
-        block, rep, n = (group.column(c).to_numpy() for c in ("block", "rep", "n"))
-        keys = np.asarray(group.column("keys").combine_chunks().flatten()).reshape(len(rep), -1)
-        left = np.flatnonzero(block == first)
-        right = left if first == second else np.flatnonzero(block == second)
+    def pairs(unit: pa.Table) -> pa.RecordBatch | None:
+        t = unit.column("t")[0].as_py()
+        vectors = np.stack([_unit(np.frombuffer(x)) for x in unit.column("vec").to_pylist()])
+        rep, n = (unit.column(c).to_numpy() for c in ("rep", "n"))
+        keys = np.asarray(unit.column("keys").combine_chunks().flatten()).reshape(len(rep), -1)
+        left, right, same = blocks.sides(unit)
         x, y = np.nonzero(vectors[left] @ vectors[right].T >= cosine)
         x, y = left[x], right[y]
-        if first == second:
+        if same:
             x, y = x[x < y], y[x < y]
         earlier = (keys[x, :t] == keys[y, :t]).any(1) if t else np.zeros(len(x), bool)
         x, y = x[~earlier], y[~earlier]
@@ -137,28 +120,19 @@ def _compare(cosine: float):
             return None
         links = np.bincount(x, n[y], len(rep)) + np.bincount(y, n[x], len(rep))
         has = np.flatnonzero(links)
-        other = rep[_forest(x, y, len(rep))[has]]
+        other = rep[blocks.forest(x, y, len(rep))[has]]
         return pa.RecordBatch.from_arrays([pa.array(rep[has]), pa.array(links[has].astype(np.int64)), pa.array(other)], names=["rep", "links", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            group = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j", "t")])
-            starts = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if (found := pairs(table.slice(a, b - a))) is not None:
-                    yield found
-            held = table.slice(starts[-1])
-        if held is not None and held.num_rows and (found := pairs(held)) is not None:
-            yield found
+        for unit in blocks.units(batches, "t", "bucket"):
+            if (found := pairs(unit)) is not None:
+                yield found
 
     return run
 
 
 def near_vectors(
-    rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", block: int = BLOCK,
+    rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", block: int = blocks.BLOCK,
 ) -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id`` and ``kept``.
 
@@ -188,13 +162,9 @@ def near_vectors(
 
     entries = keyed.select("rep", F.posexplode("keys").alias("t", "bucket"))
     sizes = entries.groupBy("t", "bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    placed = entries.join(sizes, ["t", "bucket"]).select("rep", "t", "bucket", blocks.alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("rep", "t", "bucket", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    placed = blocks.block_pairs(entries.join(sizes, ["t", "bucket"]), "m", "rep", block).drop("m")
     full = placed.join(keyed, "rep").join(classes.select("rep", "n", "vec"), "rep")
-    full = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "t")
+    full = blocks.by_unit(full, "t", "bucket")
     kind = vectors.schema["id"].dataType.simpleString()
     found = runtime.write_table(full.mapInArrow(_compare(cosine), f"rep {kind}, links long, other {kind}"), "found")
 

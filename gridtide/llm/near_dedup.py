@@ -53,6 +53,7 @@ def set_features(docs: DataFrame, words: int, n: int, id_col: str, text_col: str
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.release()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pieces.byte_balanced(texts, BATCH_BYTES):
@@ -114,6 +115,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.release()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for x, y in pieces.byte_balanced(texts, BATCH_BYTES):

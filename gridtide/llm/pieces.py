@@ -11,16 +11,20 @@ rule, so that the run stays inside one piece.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct pieces that a worker remembers; beyond it the memory starts afresh.
-MEMORY_PIECES = 1_000_000
+#: Distinct pieces that a worker remembers (about 150 MB); beyond it, those that only one batch had are forgotten.
+MEMORY_PIECES = 700_000
 #: UTF-8 bytes of text that one batch holds.
 BATCH_BYTES = 4 << 20
 #: In front of a document's first piece, which has no space before it. A lone
@@ -43,6 +47,16 @@ def encoder(path: str, ids: bool = True) -> PieceEncoder:
     return _loaded[path, ids]
 
 
+def release() -> None:
+    """Drop all encoders of this worker. Tasks of other operators begin with it, as workers are used again."""
+    if _loaded:
+        _loaded.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # glibc: give freed pages back
+
+
 class PieceEncoder:
     """Encode texts; ``ids=False`` remembers lengths only.
 
@@ -75,12 +89,37 @@ class PieceEncoder:
         self._flat = np.zeros(1 << 16, np.uint32)
         self._start = np.zeros(1 << 16, np.int64)
         self._len = np.zeros(1 << 16, np.int64)
+        self._batches = np.zeros(1 << 16, np.int32)  # that had the piece
         self._n = self._used = 0
         if self.kind == "byte":
             self._index |= {"": -1, "\n": -1}
         elif self.kind == "piece":
             self._index[""] = -1
 
+    def _forget(self) -> None:
+        """Keep the pieces that most batches had: two at least, half of the memory at most."""
+        n, names = self._n, [(p, k) for p, k in self._index.items() if k >= 0]
+        batches = self._batches[:n]
+        order = np.argsort(-batches, kind="stable")[: MEMORY_PIECES // 2]
+        kept = np.sort(order[batches[order] > 1])
+        place = np.full(n, -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        start, lens, counts, flat = self._start[kept], self._len[kept], self._batches[kept], self._flat
+        moved = place[[k for _, k in names]].tolist() if names else []
+        self._reset()
+        self._grow(len(kept))
+        self._len[: len(kept)], self._batches[: len(kept)], self._n = lens, counts, len(kept)
+        if self.with_ids:
+            total = int(lens.sum())
+            own = flat[np.repeat(start - np.cumsum(lens) + lens, lens) + np.arange(total)]
+            self._flat = np.concatenate([own, np.zeros(max(1 << 16, total), np.uint32)])
+            self._start[: len(kept)], self._used = np.cumsum(lens) - lens, total
+        self._index.update((p, k) for (p, _), k in zip(names, moved, strict=True) if k >= 0)
+
+    def _grow(self, end: int) -> None:
+        while end > len(self._len):
+            self._len, self._start, self._batches = (np.concatenate([x, np.zeros_like(x)]) for x in (self._len, self._start, self._batches))
+
     def _cut(self, text: str) -> list[str]:
         if self.kind == "word":
             return text.replace("\n", " ").split(" ")
@@ -127,8 +166,7 @@ class PieceEncoder:
         got = self._encode(strings)
         lens = np.fromiter(map(len, got), np.int64, len(got))
         end = self._n + len(new)
-        while end > len(self._len):
-            self._len, self._start = (np.concatenate([x, np.zeros_like(x)]) for x in (self._len, self._start))
+        self._grow(end)
         self._len[self._n : end] = lens
         if self.with_ids:
             total = int(lens.sum())
@@ -144,10 +182,14 @@ class PieceEncoder:
         missing = set(pieces).difference(self._index)
         if missing:
             if self._n + len(missing) > MEMORY_PIECES:
-                self._reset()
+                self._forget()
                 missing = set(pieces).difference(self._index)
             self._learn(missing, safe)
-        return np.fromiter(map(self._index.__getitem__, pieces), np.int64, len(pieces))
+        places = np.fromiter(map(self._index.__getitem__, pieces), np.int64, len(pieces))
+        if len(places):
+            had = np.bincount(places[places >= 0], minlength=self._n) > 0
+            self._batches[: len(had)] += had
+        return places
 
     def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Indices of all texts' pieces, and how many pieces each text has."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import runtime
+from . import pieces, runtime
 
 #: Labelled rows to learn from (a hash of their ids picks about so many) and preference pairs drawn from them.
 MAX_LABELLED, MAX_PAIRS = 20_000, 200_000
@@ -127,6 +127,7 @@ def learn_quality(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.release()
         for batch in batches:
             offsets = pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), pa.int32())
             x = pa.ListArray.from_arrays(offsets, pa.array(_features(batch.column(1)).ravel()))
@@ -158,6 +159,7 @@ def score_quality(
     model = learn_quality(docs, labels, fold, folds, max_labelled, id_col, text_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.release()
         for batch in batches:
             score = model.score(_features(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
@@ -176,6 +178,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col:
     model, place = learn_quality(docs, labels, text_col=text_col, **learning), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.release()
         for batch in batches:
             yield batch.filter(pa.array(model.score(_features(batch.column(place))) >= least))
 

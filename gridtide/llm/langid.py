@@ -64,7 +64,7 @@ class LanguageModel:
         gram_index: dict[str, int] = {}
         for own in by_length.values():
             gram_index |= _log_rows({lang: own[lang].most_common(grams) for lang in languages}, own, languages, logs)
-        return cls(languages, index, gram_index, np.array(logs, np.float32).reshape(-1, len(languages)))
+        return cls(languages, index, gram_index, np.array(logs, np.float32).reshape(len(logs), len(languages)))
 
     def word_row(self, word: str) -> np.ndarray:
         row = self.words.get(word)

@@ -50,7 +50,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end: int, path: str | No
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in pieces.byte_balanced(texts):
+            for a, b in pieces.byte_balanced(texts, min(pieces.BATCH_BYTES, 2 * shard_ids)):
                 more, lengths = own.ids(texts[a:b], end=end)
                 ids.append(more.astype(np.uint32))
                 lens.append(lengths)

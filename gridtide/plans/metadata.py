@@ -95,3 +95,22 @@ def cost(matched: DataFrame, *groups: str) -> DataFrame:
 def result_metrics(result: DataFrame, *groups: str) -> DataFrame:
     made = [F.count_distinct("ts").alias("n_timestamps"), F.count_distinct("gy", "gx").alias("n_cells"), F.count("value").alias("n_values")]
     return result.groupBy(*groups).agg(*made)
+
+
+#: The projection attributes that clients get.
+GRID_MAPPING = (
+    "grid_mapping_name", "standard_parallel", "longitude_of_central_meridian", "latitude_of_projection_origin", "false_easting", "false_northing",
+    "earth_radius", "semi_major_axis", "inverse_flattening",
+)
+
+
+def grid_mapping(attributes: dict) -> dict | None:
+    """The compact projection definition within a grid's attributes."""
+    return {k: attributes[k] for k in GRID_MAPPING if k in attributes} or None
+
+
+def nearest_product(products: list[tuple[str, int]], time_unit: str, factor: int) -> tuple[str, int] | None:
+    """The product to offer: as asked, else of the same unit, else native, else the first."""
+    same = [p for p in products if p[0] == time_unit]
+    order = [(time_unit, factor), *same, ("Source", 1), *products]
+    return next((p for p in order if p in products), None)

@@ -97,6 +97,47 @@ class ProductStore:
             raise FileNotFoundError(f"no grid {key}")
         return self.spark.read.parquet(f"{self.root}/grids/{key}")
 
+    def migrate_grid_ids(self) -> dict[str, str]:
+        """Recompute all grids' ids, unite equal ones and rename them in the index; old id -> new id.
+
+        Two grids that get the same id must have the same cells. Grid folders
+        of old ids stay; the old catalogs are kept beside the new ones.
+        """
+        moved: dict[str, str] = {}
+        rows: dict[str, tuple] = {}
+        for r in self.catalog("grids").collect():
+            cells = self.spark.read.parquet(f"{self.root}/{r['relative_path']}")
+            lat = [x["lat"] for x in cells.groupBy("gy").agg(F.min("lat").alias("lat")).orderBy("gy").collect()]
+            lon = [x["lon"] for x in cells.groupBy("gx").agg(F.min("lon").alias("lon")).orderBy("gx").collect()]
+            key = identity.grid_id(r["grid_type"], lat, lon)
+            if key in rows:
+                other = self.spark.read.parquet(f"{self.root}/{rows[key][4]}")
+                if not cells.select("gy", "gx", "lat", "lon").exceptAll(other.select("gy", "gx", "lat", "lon")).isEmpty():
+                    raise ValueError(f"grids {r['grid_id']} and {rows[key][0]} collide")
+            else:
+                if not self._exists(f"{self.root}/grids/{key}"):
+                    cells.write.parquet(f"{self.root}/grids/{key}")
+                rows[key] = (key, r["grid_type"], r["shape_y"], r["shape_x"], f"grids/{key}")
+            moved[r["grid_id"]] = key
+        if all(a == b for a, b in moved.items()):
+            return moved
+        names = F.create_map(*(F.lit(x) for pair in moved.items() for x in pair))
+        for name in ("product_index", "bucket_windows"):
+            new = self.catalog(name).withColumn("grid_id", F.coalesce(names[F.col("grid_id")], F.col("grid_id"))).distinct().collect()
+            self._replace(name, new)
+        self._replace("grids", list(rows.values()))
+        return moved
+
+    def _replace(self, name: str, rows: list) -> None:
+        """A new catalog in place of the old one, which is kept as ``<name>-old``."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        at = f"{self.root}/catalogs/{name}"
+        self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1).write.mode("overwrite").parquet(f"{at}-new")
+        fs = hadoop.Path(at).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(hadoop.Path(f"{at}-old"), True)
+        fs.rename(hadoop.Path(at), hadoop.Path(f"{at}-old"))
+        fs.rename(hadoop.Path(f"{at}-new"), hadoop.Path(at))
+
     # --- products
 
     def write_product(self, data: DataFrame, variant: str, variable: str, grid: str, time_unit: str, factor: int, native: str) -> int:

@@ -72,7 +72,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_arrow_token_counts": op10_arrow_token_counts,
 }
 
+#: Components of a link table ``links(a, b)`` over ``nodes(id)``: the least id that each reaches.
+REACHED = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+        least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
 ORACLES: dict[str, str] = {
+    "op1_p_stable_vector_dedup": f"""
+        WITH RECURSIVE nodes AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        links AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.label = y.label AND x.id <> y.id AND len(x.v) = len(y.v)
+                  WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+        {REACHED},
+        n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+        SELECT least.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, least.id = component_id AS kept
+        FROM least LEFT JOIN n USING (id)
+    """,
+    "op8_signature_join_near_dedup": rf"""
+        WITH RECURSIVE nodes AS (
+            SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct([concat_ws(' ', w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)])
+                                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM nodes),
+        sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+        shared AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        {REACHED}
+        SELECT least.id AS doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, least.id = component_id AS kept
+        FROM least LEFT JOIN sizes USING (id)
+    """,
     "op6_merkle_fixity_audit": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, md5(coalesce(CAST(page_id AS VARCHAR), '')) AS k,
                           replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url, chr(13) || chr(10) AS nl FROM pages),

@@ -55,9 +55,8 @@ def set_features(docs: DataFrame, words: int, n: int, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces.release()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces.byte_balanced(texts, BATCH_BYTES):
-                sets = shingle_sets([x.encode() if x else b"" for x in texts[a:b]], words)
+            for a, b, texts in pieces.text_batches(batch.column(1), BATCH_BYTES):
+                sets = shingle_sets([x.encode() if x else b"" for x in texts], words)
                 full = np.array([len(x) > 0 for x in sets])
                 values = signatures(sets, max(n, COUNTED))
                 flat = pa.array(np.ascontiguousarray(values[:, :n]).view(np.int32).ravel())
@@ -117,9 +116,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces.release()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for x, y in pieces.byte_balanced(texts, BATCH_BYTES):
-                sets = shingle_sets([t.encode() if t else b"" for t in texts[x:y]], words)
+            for x, y, texts in pieces.text_batches(batch.column(1), BATCH_BYTES):
+                sets = shingle_sets([t.encode() if t else b"" for t in texts], words)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "own"])
 
     wanted, place = wanted.distinct(), F.pmod(F.xxhash64("id"), F.lit(SIEVE)).alias("place")

@@ -32,9 +32,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_c
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, mark = pieces.encoder(tokenizer), TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces.byte_balanced(texts):
-                ids, lens = own.ids(texts[a:b], end=end)
+            for a, _, texts in pieces.text_batches(batch.column(1)):
+                ids, lens = own.ids(texts, end=end)
                 ids = np.ascontiguousarray(ids, dtype="<u4")
                 n_pieces = -(-lens // capacity)
                 row = np.repeat(np.arange(len(lens)), n_pieces)

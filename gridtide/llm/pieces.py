@@ -20,13 +20,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct pieces that a worker remembers (about 150 MB); beyond it, those that only one batch had are forgotten.
-MEMORY_PIECES = 700_000
+#: Distinct pieces that a worker remembers (about 110 MB); beyond it, those that only one batch had are forgotten.
+MEMORY_PIECES = 500_000
 #: UTF-8 bytes of text that one batch holds.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: In front of a document's first piece, which has no space before it. A lone
 #: surrogate can't occur in a text.
 _FIRST = "\ud800"
@@ -265,14 +266,19 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def byte_balanced(texts: list[str | None], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` characters each; a longer text stands alone."""
+def byte_balanced(sizes: list[int], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``limit`` bytes each; a longer text stands alone."""
     start = held = 0
-    for k, text in enumerate(texts):
-        n = len(text) if text else 0
+    for k, n in enumerate(sizes):
         if held and held + n > limit:
             yield start, k
             start, held = k, 0
         held += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def text_batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Byte-balanced row ranges of a text column, and the texts of one range at a time."""
+    for a, b in byte_balanced(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+        yield a, b, column.slice(a, b - a).to_pylist()

@@ -30,8 +30,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
         own = pieces.encoder(tokenizer, ids=False)
         for batch in batches:
             n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            texts = batch.column(1).to_pylist()
-            tokens = [own.lengths(texts[a:b]) for a, b in pieces.byte_balanced(texts)]
+            tokens = [own.lengths(texts) for _, _, texts in pieces.text_batches(batch.column(1))]
             n = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), n_bytes, pa.array(n), pa.array(n > limit)],

@@ -49,9 +49,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end: int, path: str | No
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "before", "n_ids", "ids", "lengths", "data"])
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces.byte_balanced(texts, min(pieces.BATCH_BYTES, 2 * shard_ids)):
-                more, lengths = own.ids(texts[a:b], end=end)
+            for a, b, texts in pieces.text_batches(batch.column(1), min(pieces.BATCH_BYTES, 2 * shard_ids)):
+                more, lengths = own.ids(texts, end=end)
                 ids.append(more.astype(np.uint32))
                 lens.append(lengths)
                 names.append(batch.column(0)[a:b])

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from gridtide.llm import pieces
 from hypothesis import given, settings
@@ -65,7 +66,7 @@ def test_end_id_and_byte_balance():
     own = pieces.encoder(pieces.tokenizer_path(FILES[0]))
     ids, lens = own.ids(["", None, "a b"], end=2)
     assert lens.tolist() == [1, 1, 3] and ids.tolist()[:2] == [2, 2] and ids[-1] == 2
-    texts = ["a" * 5, "b" * 50, None, "", "c" * 4, "d" * 4]
-    ranges = list(pieces.byte_balanced(texts, 10))
-    assert ranges == [(0, 1), (1, 4), (4, 6)] or [a for a, _ in ranges][0] == 0 and ranges[-1][1] == len(texts)
-    assert [b for _, b in ranges[:-1]] == [a for a, _ in ranges[1:]]
+    ranges = list(pieces.byte_balanced([5, 50, 0, 0, 4, 4], 10))
+    assert ranges == [(0, 1), (1, 2), (2, 6)] and list(pieces.byte_balanced([])) == []
+    column = pa.array(["é" * 3, None, "", "abc" * 4])
+    assert list(pieces.text_batches(column, 8)) == [(0, 3, ["é" * 3, None, ""]), (3, 4, ["abc" * 4])]

@@ -249,6 +249,19 @@ def _coarsen_first(spark, d):
     return spatial.coarsen(in_window(src.daily(spark, d)), FACTOR, "first", "dataset", "ts").select("dataset", "ts", "gy", "gx", r6("value"))
 
 
+#: Ingestion makes spatial products of all samples, without a window.
+for _how, _sql in _AGG.items():
+
+    @query(f"coarsen2_{_how}_whole", f"WITH {DAILY} SELECT dataset, ts, gy // 2 AS gy, gx // 2 AS gx, round({_sql}(value), 6) AS value FROM daily GROUP BY ALL")
+    def _coarsen_whole(spark, d, how=_how):
+        return spatial.coarsen(src.daily(spark, d), FACTOR, how, "dataset", "ts").select("dataset", "ts", "gy", "gx", r6("value"))
+
+
+@query("coarsen2_first_whole", f"WITH {DAILY} SELECT dataset, ts, gy // 2 AS gy, gx // 2 AS gx, round(value, 6) AS value FROM daily WHERE gy % 2 = 0 AND gx % 2 = 0")
+def _coarsen_first_whole(spark, d):
+    return spatial.coarsen(src.daily(spark, d), FACTOR, "first", "dataset", "ts").select("dataset", "ts", "gy", "gx", r6("value"))
+
+
 _CIRCLE = "round((degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) + 360) % 360, 6)"
 
 
@@ -406,6 +419,12 @@ def _regrid(spark, d):
     return found.select("dataset", "ts", "gy", "gx", r6("value"))
 
 
+@query("regrid_bilinear_apply_whole", f"{_REGRID} SELECT dataset, ts, dst_gy AS gy, dst_gx AS gx, round(sum(value * w) / sum(w), 6) AS value FROM daily JOIN weights ON gy = src_gy AND gx = src_gx GROUP BY ALL")
+def _regrid_whole(spark, d):
+    found = combine.apply_weights(src.daily(spark, d), regrid_weights(spark, d), "dataset", "ts")
+    return found.select("dataset", "ts", "gy", "gx", r6("value"))
+
+
 def _pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cube = src.daily(spark, d)
     return tuple(cube.filter(F.col("dataset") == name).drop("dataset") for name in ("src_a", "src_r"))

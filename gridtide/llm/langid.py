@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-#: Documents to learn from (a hash picks about so many), words and n-grams kept per language, languages at most.
+#: Documents to learn from (a hash picks about so many, by language), words and n-grams kept per language, languages at most.
 MAX_DOCS, WORDS, GRAMS, LANGUAGES = 20_000, 20_000, 20_000, 300
 LONGEST = 5
 #: An unseen word counts this much of a known one.
@@ -135,6 +135,19 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def fair_share(sizes: list[tuple[int, int]], most: int) -> int | None:
+    """Documents that a language may keep so that all together keep about ``most``; None if all may stay.
+
+    ``sizes``: number of documents, and of languages that have so many.
+    """
+    left, languages = most, sum(n for _, n in sizes)
+    for size, n in sorted(sizes):
+        if size * languages > left:
+            return max(1, left // languages)
+        left, languages = left - size * n, languages - n
+    return None
+
+
 def identify_language(
     docs: DataFrame, fold: int = 2, folds: int = 4, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
@@ -142,8 +155,10 @@ def identify_language(
 
     Learns from text and non-null language of documents whose
     ``crc32(id as text) mod folds`` is not ``fold``: of all up to ``max_docs``,
-    beyond it of about so many, drawn by a hash of the id. Every whole text is
-    predicted; the score is the posterior of the predicted language.
+    beyond it of about so many: a language keeps all its documents up to an
+    equal share, and about that share, drawn by a hash of the id, beyond it.
+    Every whole text is predicted; the score is the posterior of the predicted
+    language.
 
     A null text, or one without a letter, is ``und`` with score 0, as is all if
     there was nothing to learn. Null ids are never learned from and count
@@ -155,9 +170,12 @@ def identify_language(
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % folds == fold, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~held)
-    n = known.count()
-    if n > max_docs:
-        known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
+    sizes = runtime.write_table(known.groupBy("lang").agg(F.count("*").alias("size")), "languages")
+    share = fair_share([(r["size"], r["n"]) for r in sizes.groupBy("size").agg(F.count("*").alias("n")).collect()], max_docs)
+    if share is not None:
+        large = sizes.filter(F.col("size") > share)  # at most max_docs / share languages
+        rate = F.coalesce(share / F.col("size"), F.lit(1.0))
+        known = known.join(F.broadcast(large), "lang", "left").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (1 << 30) * rate)
     counted = _word_counts(known.select("lang", "text"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= WORDS)
     found = ranked.select("lang", "word", "n").toArrow()

@@ -16,6 +16,7 @@ from gridtide.llm.near_dedup import near_dedup
 from gridtide.llm.packing import pack
 from gridtide.llm.quality import keep_good
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +30,19 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (shingles of five words, similarity 0.8 or more)."""
-    dropped = near_dedup(docs, words=5, percent=80).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates stays (shingles of five words, similarity 0.8 or more).
+
+    Texts that share a doc_id are documents of their own, ordered by a hash of the text.
+    """
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        dropped = near_dedup(docs, words=5, percent=80).filter("NOT kept").select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("__text", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    keys = keyed.filter("doc_id IS NOT NULL").select("doc_id", "__text").distinct().orderBy("doc_id", "__text")
+    keys = runtime.write_table(keys.withColumn("__row", F.monotonically_increasing_id()), "rows")  # in the order of the ids
+    numbered = runtime.write_table(keyed.join(keys, ["doc_id", "__text"], "left"), "numbered")
+    dropped = near_dedup(numbered, words=5, percent=80, id_col="__row").filter("NOT kept").select("__row").distinct()
+    return numbered.join(dropped, "__row", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ for each digest, the smallest (longest text, smallest id) entry and the count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
@@ -16,10 +16,14 @@ from . import runtime
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def normalised(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), BLANKS, "")
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_chars, digest, check``: SHA-256 of the normalised text, and a second hash to verify it."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.char_length(text).alias("n_chars"), F.regexp_replace(text, BLANKS, "").alias("norm"))
+    rows = docs.select(F.col(id_col).alias("id"), F.char_length(text).alias("n_chars"), normalised(text_col).alias("norm"))
     return rows.select("id", "n_chars", F.unhex(F.sha2("norm", 256)).alias("digest"), F.xxhash64("norm").alias("check"))
 
 
@@ -54,9 +58,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts the one with the most code points stays, then the smallest id.
 
     A null text counts as empty. A null id is last among equals, and
-    is kept only if its whole group has none. Rows that repeat an id have the
-    same result each, so all of them are kept or none. An empty table
-    gives no rows; further columns are ignored, whatever their names.
+    is kept only if its whole group has none. Rows that repeat an id and a
+    normalised text have the same result, so all of them are kept or none. An empty
+    table gives no rows; further columns are ignored, whatever their names.
     """
     entries = runtime.write_table(digests(docs, id_col, text_col), "digests")
     winners = merge_runs(entries).select("digest", "check", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
@@ -73,11 +77,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; rows that repeat an id and a text go as well.
 
+    A decision holds for an id and a normalised text, so of rows that share an id only those go whose text has a better row.
     Rows with a null id stay, but for repeated ones of the same text. Other cases: as ``exact_dedup``.
     """
     decided = exact_dedup(docs, id_col, text_col)
-    dropped = decided.filter("NOT kept").select(id_col).distinct()
-    left = docs.join(dropped, id_col, "left_anti").select(docs.columns)
+    dropped = decided.filter("NOT kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+    same = (F.col(id_col) == F.col("__id")) & (F.sha2(normalised(text_col), 256) == F.col("__digest"))
+    left = docs.join(dropped, same, "left_anti").select(docs.columns)
     if decided.groupBy(id_col, "text_sha256").count().filter("count > 1").isEmpty():
         return left
     keyed = left.withColumn("__text", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))

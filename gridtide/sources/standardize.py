@@ -58,7 +58,7 @@ def open_sources(spark: SparkSession, paths: list[str], format: str = "parquet")
     if not paths:
         raise FileNotFoundError("no source files")
     if format == "netcdf":
-        raise ImportError("reading NetCDF needs an optional reader that isn't installed; convert to Parquet first")
+        raise ImportError("reading NetCDF is not implemented; convert to Parquet first")
     frames = [spark.read.format(format).load(p) for p in paths]
     out = frames[0]
     for frame in frames[1:]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import pieces, runtime
 
-#: Bins that one group packs at most, as planned by counts.
+#: Items that one group packs, as planned by counts.
 GROUP_ITEMS = 4096
 #: A bin with at most so many tokens to spare is final.
 SLACK = 16
@@ -32,8 +32,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_c
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, mark = pieces.encoder(tokenizer), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for a, _, texts in pieces.text_batches(batch.column(1)):
-                ids, lens = own.ids(texts, end=end)
+            for a, _, ids, lens in own.batches(batch.column(1), end):
                 ids = np.ascontiguousarray(ids, dtype="<u4")
                 n_pieces = -(-lens // capacity)
                 row = np.repeat(np.arange(len(lens)), n_pieces)
@@ -51,7 +50,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_c
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, mark long")
+    return rows.mapInArrow(pieces.tidy(cut, encodes=True), f"id {kind}, piece int, start long, length long, ids_crc32 long, mark long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], int]:
@@ -81,23 +80,18 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], int
 
 
 def _fit_group(level: int, capacity: int):
+    """Items (``bin, fill, group``) of one group in; each item's ``bin`` with its ``base`` and ``total`` in ``to`` out."""
+
     def fit(table: pa.Table) -> pa.Table:
-        key, offset, fill = (table.column(c).to_numpy() for c in ("bin", "offset", "fill"))
+        pieces.release()
+        items, sizes = table.column("bin").to_numpy(), table.column("fill").to_numpy()
         group = table.column("group")[0].as_py()
-        items, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        sizes = fill[first]
         order = np.lexsort((items, -sizes))
         bins, bases, n = best_fit(sizes[order].tolist(), capacity)
         own, base = np.empty(len(items), np.int64), np.empty(len(items), np.int64)
         own[order], base[order] = bins, bases
         total = np.bincount(own, sizes, n).astype(np.int64)
-        own_row = own[inverse]
-        new = {
-            "bin": pa.array((level << 56) + (group << 24) + own_row),
-            "offset": pa.array(base[inverse] + offset),
-            "fill": pa.array(total[own_row]),
-        }
-        return pa.table({c: new.get(c, table.column(c)) for c in table.column_names})
+        return pa.table({"bin": pa.array(items), "to": pa.array((level << 56) + (group << 24) + own), "base": pa.array(base), "total": pa.array(total[own])})
 
     return fit
 
@@ -109,38 +103,45 @@ def pack(
     """One row per piece: id, ``piece, start, length, ids_crc32, sequence_id, offset``.
 
     A group holds some ``group_items`` items, however large the input; groups
-    are drawn by a hash of the row's own mark, so repeated ids spread. Rounds
-    end when one group is left, or when another round could not unite bins
-    (then at least ``group_items`` bins a group are left that don't fit together).
+    are drawn by a hash of the row's own mark, so repeated ids spread. In later rounds a
+    bin is one row, however many pieces it has, and only bins meet that are small enough to
+    fit with the smallest open one. Rounds end when one group is left, or when a round
+    united nothing.
 
-    A null text counts as empty: one piece, the end id alone. Null ids and
-    repeated rows are packed like any others. An empty table gives no rows;
+    A null text counts as empty: one piece, the end id alone. Long texts are cut into pieces of ``capacity``. Null ids and
+    repeated rows are packed like any others; ties in length go by the mark. An empty table gives no rows;
     further columns are ignored, whatever their names.
     """
     runtime.prepare(docs.sparkSession)
     cut = runtime.write_table(cut_documents(docs, tokenizer, capacity, end, id_col, text_col), "pieces")
-    out = cut.filter(F.col("length") == capacity).withColumns({"bin": F.col("mark"), "offset": F.lit(0).cast("long")})
-    columns = ["id", "piece", "start", "length", "ids_crc32", "bin", "offset"]
-    out = out.select(columns)
-    rest = cut.filter(F.col("length") < capacity)
-    n = rest.count()
+    items = cut.filter(F.col("length") < capacity).select(F.col("mark").alias("bin"), F.col("length").alias("fill"))
+    n, placed, level = items.count(), None, 1
     groups = max(1, math.ceil(n / group_items))
-    group = F.pmod(F.xxhash64("mark"), F.lit(groups))
-    rest = rest.select("id", "piece", "start", "length", "ids_crc32", F.col("mark").alias("bin"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("fill"), group.alias("group"))
-    level = 1
     while n:
-        fitted = runtime.write_table(rest.groupBy("group").applyInArrow(_fit_group(level, capacity), rest.schema), f"round{level}")
-        full = F.col("fill") >= capacity - slack
-        if groups == 1:
-            return _named(out.unionByName(fitted.select(columns)), id_col)
-        rest = fitted.filter(~full)
-        before, n = n, rest.agg(F.count_distinct("bin")).first()[0]
-        fan = groups * group_items // max(n, 1)
-        if fan < 2 or level == 120 or (level > 1 and n > 0.9 * before):
-            return _named(out.unionByName(fitted.select(columns)), id_col)
-        out = out.unionByName(fitted.filter(full).select(columns))
-        groups, level = math.ceil(groups / fan), level + 1
-        rest = rest.withColumn("group", F.pmod(F.xxhash64("bin"), F.lit(groups)))
+        dealt = items.withColumn("group", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)))
+        fitted = dealt.groupBy("group").applyInArrow(_fit_group(level, capacity), "bin long, to long, base long, total long")
+        fitted = runtime.write_table(fitted, f"round{level}")
+        if placed is None:  # where each piece is: mark, bin and offset
+            placed = fitted.select(F.col("bin").alias("mark"), F.col("to").alias("bin"), F.col("base").alias("offset"))
+        else:
+            moved = placed.join(fitted.select("bin", "to", "base"), "bin", "left")
+            placed = moved.select("mark", F.coalesce("to", "bin").alias("bin"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
+        if groups == 1 or level == 127:
+            break
+        bins = fitted.filter(F.col("total") < capacity - slack).select(F.col("to").alias("bin"), F.col("total").alias("fill")).distinct()
+        least = bins.agg(F.min("fill")).first()[0]
+        if least is None:
+            break
+        items = bins.filter(F.col("fill") <= capacity - least)
+        before, n, level = n, items.count(), level + 1
+        if level > 2 and n >= before:
+            break
+        groups = math.ceil(n / group_items)
+    full = cut.filter(F.col("length") == capacity).withColumns({"bin": F.col("mark"), "offset": F.lit(0).cast("long")})
+    columns = ["id", "piece", "start", "length", "ids_crc32", "bin", "offset"]
+    out = full.select(columns)
+    if placed is not None:
+        out = out.unionByName(cut.filter(F.col("length") < capacity).join(placed, "mark").select(columns))
     return _named(out, id_col)
 
 

@@ -127,14 +127,13 @@ def learn_quality(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces.release()
         for batch in batches:
             offsets = pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), pa.int32())
             x = pa.ListArray.from_arrays(offsets, pa.array(_features(batch.column(1)).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x, batch.column(2)], names=["id", "x", "label"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    sample = rows.select("id", "text", F.col("label").cast("int")).mapInArrow(run, f"id {kind}, x array<double>, label int").toArrow()
+    sample = rows.select("id", "text", F.col("label").cast("int")).mapInArrow(pieces.tidy(run), f"id {kind}, x array<double>, label int").toArrow()
     sample = sample.take(pa.array(sorted(range(sample.num_rows), key=list(zip(sample["id"].to_pylist(), sample["label"].to_pylist(), sample["x"].to_pylist(), strict=True)).__getitem__), pa.int64()))
     x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit_ranking(x, sample.column("label").to_numpy() == 1)
@@ -159,13 +158,12 @@ def score_quality(
     model = learn_quality(docs, labels, fold, folds, max_labelled, id_col, text_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces.release()
         for batch in batches:
             score = model.score(_features(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, score double, predicted int")
+    scored = rows.mapInArrow(pieces.tidy(run), f"id {rows.schema[0].dataType.simpleString()}, score double, predicted int")
     return scored.select(F.col("id").alias(id_col), F.coalesce(_fold("id", folds) == fold, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -178,8 +176,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col:
     model, place = learn_quality(docs, labels, text_col=text_col, **learning), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces.release()
         for batch in batches:
             yield batch.filter(pa.array(model.score(_features(batch.column(place))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(pieces.tidy(run), docs.schema)

@@ -7,9 +7,11 @@ import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 _written: list[tuple[SparkSession, str]] = []
@@ -36,8 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of an Arrow batch, which Spark and a Python worker both hold; Spark's own default is 64 MB.
+ARROW_BYTES = "4m"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver found it."""
+    """Let Python workers import this package wherever the driver found it, and keep Arrow batches small.
+
+    A size of batches that the session has set itself stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, ARROW_BYTES)
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if REPO_ROOT not in path.split(os.pathsep):
@@ -72,5 +84,37 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, made longer until no column in ``taken`` has it (case doesn't tell names apart)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+#: Distinct hashes that a sieve of ids has at most, so that its broadcast is bounded at any size.
+SIEVE = 1 << 20
+
+
+def sieve_place(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(SIEVE))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, gone_key: str, same: Callable[[DataFrame], Column]) -> DataFrame:
+    """``rows`` without those that have a match in ``gone`` by the condition ``same(rows)``, which equates the keys.
+
+    Rows whose key has no hash in common with a key of ``gone`` stay where
+    they are; only the others are shuffled for the anti join. Null keys stay.
+    """
+    place = fresh([*rows.columns, *gone.columns], "place")
+    hit = fresh([*rows.columns, *gone.columns, place], "hit")
+    sieve = gone.select(sieve_place(gone_key).alias(place)).distinct().withColumn(hit, F.lit(True))
+    marked = rows.withColumn(place, sieve_place(key)).join(F.broadcast(sieve), place, "left")
+    sure, open_ = marked.filter(F.col(hit).isNull()).select(rows.columns), marked.filter(F.col(hit).isNotNull()).select(rows.columns)
+    flag = fresh([*rows.columns, *gone.columns, place, hit], "flag")
+    matched = open_.join(gone.distinct().withColumn(flag, F.lit(True)), same(open_), "left")  # an anti join would be moved below the sieve
+    return sure.unionByName(matched.filter(F.col(flag).isNull()).select(rows.columns))
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -30,7 +30,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
         own = pieces.encoder(tokenizer, ids=False)
         for batch in batches:
             n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            tokens = [own.lengths(texts) for _, _, texts in pieces.text_batches(batch.column(1))]
+            tokens = [lens for *_, lens in own.batches(batch.column(1))]
             n = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), n_bytes, pa.array(n), pa.array(n > limit)],
@@ -39,4 +39,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(pieces.tidy(count, encodes=True), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

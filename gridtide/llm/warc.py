@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import runtime
+from . import pieces, runtime
 
 FAN_OUT = 16
 RECORD_DATE = "1970-01-01T00:00:00Z"
@@ -84,7 +84,7 @@ def write_bytes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield close()
 
     rows = _records(pages, id_col, url_col, html_col).select("archive", "seq", F.col("record").cast("binary"))
-    return runtime.write_table(rows.mapInArrow(segments, "archive int, segment long, data binary"), "archive")
+    return runtime.write_table(rows.mapInArrow(pieces.tidy(segments), "archive int, segment long, data binary"), "archive")
 
 
 def parse_archive(data: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -146,7 +146,7 @@ def read_back(archives: DataFrame) -> DataFrame:
                     names=["uuid", "archive", "seq", "length", "digest"],
                 )
 
-    rows = archives.select("archive", "segment", "data").mapInArrow(run, "uuid string, archive int, seq long, length long, digest string")
+    rows = archives.select("archive", "segment", "data").mapInArrow(pieces.tidy(run), "uuid string, archive int, seq long, length long, digest string")
     return runtime.write_table(rows, "read_back")
 
 

@@ -16,14 +16,33 @@ from pyspark.sql import functions as F
 
 #: Members of a block.
 BLOCK = 512
+#: Keys that hold more than one of so many parts of all rows count as hot; so there are fewer than this.
+HOT_KEYS = 4096
 
 
-def block_pairs(rows: DataFrame, size: str, member: str, block: int = BLOCK) -> DataFrame:
+def told(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``facts``, one row for each of some ``keys``, whose column ``count`` is the key's number of rows.
+
+    A key with more than ``1 / HOT_KEYS`` of these rows is hot: there are fewer
+    than ``HOT_KEYS`` such, so their facts are broadcast, and rows of a hot key stay
+    where they are. All others meet in an exchange by key. ``facts`` should be a written table.
+    """
+    most = (facts.agg(F.sum(count)).first()[0] or 0) / HOT_KEYS
+    hot = facts.filter(F.col(count) > most)
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(facts.filter(F.col(count) <= most), keys)
+    return near.unionByName(far)
+
+
+def block_pairs(rows: DataFrame, size: str, member: str, block: int = BLOCK, weight: str | None = None, most: int = 1) -> DataFrame:
     """``rows`` once for each pair of blocks that their own block is in: ``block``, and the pair ``i <= j``.
 
-    ``size`` names the column with the number of members of a row's group.
+    ``size`` names the column with the number of members of a row's group,
+    ``weight`` one with the group's weight, of which a block gets about ``most``.
     """
     blocks = F.ceil(F.col(size) / block).cast("int")
+    if weight:
+        blocks = F.greatest(blocks, F.ceil(F.col(weight) / most).cast("int"))
     placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return placed.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("blocks", "with")

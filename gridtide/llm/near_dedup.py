@@ -33,11 +33,11 @@ from .shingles import shingle_sets, signatures
 #: Coordinates that are posted, coordinates that candidates are counted on (the posted ones among them), and by how many
 #: deviations a count may fall short: a link at the threshold itself is missed with a chance below 2 in 10,000.
 COORDINATES, COUNTED, DEVIATIONS = 64, 160, 4.0
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Members of a list that is searched by a join, and of a block of a longer one.
 SHORT, BLOCK = 8, 2048
-#: Distinct hashed ids that are broadcast at most, to sieve documents before they are shuffled.
-SIEVE = 1 << 20
+#: Bytes of whole sets that a block has, as planned by their sizes.
+BLOCK_BYTES = 4 << 20
 
 
 def least_matches(n: int, threshold: float) -> int:
@@ -53,7 +53,6 @@ def set_features(docs: DataFrame, words: int, n: int, id_col: str, text_col: str
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces.release()
         for batch in batches:
             for a, b, texts in pieces.text_batches(batch.column(1), BATCH_BYTES):
                 sets = shingle_sets([x.encode() if x else b"" for x in texts], words)
@@ -75,16 +74,16 @@ def set_features(docs: DataFrame, words: int, n: int, id_col: str, text_col: str
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_shingles long, set_hash binary, signature array<int>, counted binary")
+    return rows.mapInArrow(pieces.tidy(run), f"id {kind}, n_shingles long, set_hash binary, signature array<int>, counted binary")
 
 
 def prefix_postings(sets: DataFrame, n: int, least: int) -> DataFrame:
     """``key, rep, size, df``: the posted prefix of each set (``rep, size, signature``), without pairs of one set only."""
     pairs = sets.select("rep", "size", F.posexplode("signature").alias("j", "value"))
     pairs = pairs.select("rep", "size", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
-    shared = pairs.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = runtime.write_table(pairs.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     own = Window.partitionBy("rep")
-    ranked = pairs.join(shared, "key").withColumns({"rank": F.row_number().over(own.orderBy("df", "key")), "n_shared": F.count("*").over(own)})
+    ranked = blocks.told(pairs, shared, ["key"], "df").withColumns({"rank": F.row_number().over(own.orderBy("df", "key")), "n_shared": F.count("*").over(own)})
     return ranked.filter(F.col("rank") <= n - least + 1 - (n - F.col("n_shared"))).select("key", "rep", "size", "df")
 
 
@@ -103,28 +102,27 @@ def matching(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("counted").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, both.select("a", "b").schema)
+    return both.mapInArrow(pieces.tidy(run), both.select("a", "b").schema)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``id, own``: the sorted shingle set (bytes of u64) of each document whose id is in ``wanted``.
 
     Texts are shuffled only if the hash of their id is one of a wanted id's;
-    there are ``SIEVE`` hashes, so that broadcast is bounded at any size.
+    there are ``runtime.SIEVE`` hashes, so that broadcast is bounded at any size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces.release()
         for batch in batches:
             for x, y, texts in pieces.text_batches(batch.column(1), BATCH_BYTES):
                 sets = shingle_sets([t.encode() if t else b"" for t in texts], words)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "own"])
 
-    wanted, place = wanted.distinct(), F.pmod(F.xxhash64("id"), F.lit(SIEVE)).alias("place")
+    wanted, place = wanted.distinct(), runtime.sieve_place("id").alias("place")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("place", place).join(F.broadcast(wanted.select(place).distinct()), "place", "left_semi").drop("place")
     texts = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, own binary")
+    return texts.mapInArrow(pieces.tidy(run), f"id {texts.schema['id'].dataType.simpleString()}, own binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -148,7 +146,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda x: sets.select(F.col("id").alias(x), F.col("own").alias(f"t{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, both.select("a", "b").schema)
+    return both.mapInArrow(pieces.tidy(run), both.select("a", "b").schema)
 
 
 def _promising(unit: pa.Table, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +226,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, n: int = COOR
     A null or blank text has no shingles and is linked with nothing. A row with
     a null id is linked with nothing: its component is null, and it is kept.
     Rows that repeat an id are taken for the same document and get
-    the same result. Equal sets are one class, joined through its smallest id.
-    An empty table gives no rows; further columns are ignored, whatever
+    the same result. Equal sets are one class, joined through its smallest id; similarities at the threshold count (ties).
+    Whole texts are shingled; long ones meet in smaller blocks. An empty table gives no rows; further columns are ignored, whatever
     their names.
     """
     runtime.prepare(docs.sparkSession)
@@ -241,8 +239,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, n: int = COOR
     classes = runtime.write_table(classes, "classes")
     posted = runtime.write_table(prefix_postings(classes, n, least), "postings")
 
-    first = posted.groupBy("key").agg(F.min_by(F.struct("rep", "size"), "rep").alias("hub"))
-    star = posted.join(first, "key").filter(F.col("rep") != F.col("hub.rep")).filter(_similar_sizes("size", "hub.size", percent))
+    first = posted.groupBy("key").agg(F.min_by(F.struct("rep", "size"), "rep").alias("hub"), F.count("*").alias("m"))
+    first = runtime.write_table(first.filter("m > 1"), "hubs")
+    star = blocks.told(posted, first, ["key"], "m").filter(F.col("rep") != F.col("hub.rep")).filter(_similar_sizes("size", "hub.size", percent))
     star = star.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
     candidates = runtime.write_table(matching(star, classes, most_counted), "star_candidates")
     sets = runtime.write_table(whole_sets(docs, _ends(candidates), words, id_col, text_col), "star_sets")
@@ -251,7 +250,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, n: int = COOR
 
     placed = posted.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m")
-    open_ = runtime.write_table(placed.join(mixed, "key"), "open")
+    open_ = runtime.write_table(blocks.told(placed, runtime.write_table(mixed, "mixed"), ["key"], "m"), "open")
     left, right = (open_.filter(F.col("m") <= SHORT).select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "size", "part"))) for x in "ab")
     cross = left.join(right, "key").filter("part_a < part_b").filter(_similar_sizes("size_a", "size_b", percent))
     cross = cross.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
@@ -260,14 +259,17 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, n: int = COOR
     prefixes = prefixes.select("rep", F.transform("prefix", lambda x: x["key"]).alias("prefix"))
     long_ = blocks.block_pairs(open_.filter(F.col("m") > SHORT), "m", "rep", BLOCK).select("key", "rep", "size", "part", "block", "i", "j")
     full = blocks.by_unit(long_.join(prefixes, "rep").join(classes.select("rep", "counted"), "rep"), "key")
-    active = full.mapInArrow(_active(most_counted, percent), full.select("key", "rep").schema).distinct()
+    active = full.mapInArrow(pieces.tidy(_active(most_counted, percent)), full.select("key", "rep").schema).distinct()
     active = runtime.write_table(active, "active")
     sets = whole_sets(docs, _ends(candidates).unionByName(active.select(F.col("rep").alias("id"))), words, id_col, text_col)
     sets = runtime.write_table(sets, "cross_sets")
     more = confirmed(candidates, sets, percent)
-    full = long_.join(active, ["key", "rep"], "left_semi").join(prefixes, "rep").join(classes.select("rep", "counted"), "rep")
+    full = open_.drop("m").join(active, ["key", "rep"], "left_semi")
+    sums = runtime.write_table(full.groupBy("key").agg(F.count("*").alias("m"), (8 * F.sum("size")).alias("bytes")), "sums")
+    full = blocks.block_pairs(blocks.told(full, sums, ["key"], "m"), "m", "rep", BLOCK, "bytes", BLOCK_BYTES).drop("m", "bytes", "df")
+    full = full.join(prefixes, "rep").join(classes.select("rep", "counted"), "rep")
     full = blocks.by_unit(full.join(sets.withColumnRenamed("id", "rep"), "rep"), "key")
-    more = more.unionByName(full.mapInArrow(_linked(most_counted, percent), more.schema))
+    more = more.unionByName(full.mapInArrow(pieces.tidy(_linked(most_counted, percent)), more.schema))
     more = runtime.write_table(more, "cross_links")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))

@@ -14,17 +14,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import runtime
+from . import pieces, runtime
 
 #: Weights by code-point order of the sources, repeated.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of one source that one group rounds, and residuals that meet in one node of the tree.
 GROUP_DOCS, FAN_IN = 2048, 64
-#: A plan with at most so many sources is broadcast; the driver refuses more than the second number.
-BROADCAST_SOURCES, MOST_SOURCES = 10_000, 1_000_000
+#: A plan with at most so many sources is broadcast.
+BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,7 +80,8 @@ def _snapped(x: float) -> float:
 
 def _round_group(level: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("key", "ascending"), ("id", "ascending")])
+        pieces.release()
+        table = table.sort_by([("size", "descending"), ("key", "ascending"), ("nth", "ascending")])
         shares, sizes = table.column("share").to_numpy().copy(), table.column("size").to_numpy()
         src, group = table.column("src")[0].as_py(), table.column("group")[0].as_py()
         left = pivot(shares, sizes, np.random.Generator(np.random.Philox([seed, level, src, group])).random)
@@ -92,18 +93,68 @@ def _round_group(level: int, seed: int):
     return run
 
 
-def _plan(spark: SparkSession, rows: list, amount: float, most: float, weights: tuple[float, ...]) -> DataFrame:
+def ranked_sources(totals: DataFrame) -> DataFrame:
+    """``totals`` (source, n, words) with ``src``, each source's place by code point, null last.
+
+    A range partition sorts them; the driver learns how many sources each partition has, and no more.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    rows = totals.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    rows = runtime.write_table(rows, "sources")
+    held = rows.groupBy(F.shiftright("at", 33).alias("part")).count().orderBy("part").collect()
+    ahead, offsets = 0, []
+    for r in held:
+        offsets.append((r["part"], ahead))
+        ahead += r["count"]
+    before = rows.sparkSession.createDataFrame(offsets, "part long, ahead long")  # a row per partition
+    rows = rows.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(before), "part")
+    return rows.select("source", "n", "words", (F.col("ahead") + F.col("at") % F.lit(1 << 33)).alias("src"))
+
+
+def level_of(sources: DataFrame, total: float, most: float) -> float:
+    """Words per unit of weight, ``u``: targets are ``least(weight * u, most * words)`` and sum up to ``total``.
+
+    Sources above their cap are closed and the rest is reshared until none is above.
+    As closed sources are those whose cap per weight is below ``u``, each step is
+    one sum over the sources, and only sums come to the driver.
+    """
+    cap, closed = F.lit(most) * F.col("words"), 0.0
+    while True:
+        shut = cap < F.col("weight") * F.lit(closed)
+        row = sources.agg(F.sum(F.when(shut, cap).otherwise(0e0)).alias("held"), F.sum(F.when(shut, 0e0).otherwise(F.col("weight"))).alias("open")).first()
+        if not row["open"]:
+            return closed
+        unit = (total - row["held"]) / row["open"]
+        if unit <= closed:
+            return closed
+        closed = unit
+
+
+def _plan(totals: DataFrame, amount: float, most: float, weights: tuple[float, ...]) -> DataFrame:
     """A row per source: its rank, size, target, whole copies, fractional copy and number of groups."""
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"{len(rows)} sources; the plan is made on the driver for {MOST_SOURCES} at most")
-    rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes, own = [int(r["words"]) for r in rows], [weights[k % len(weights)] for k in range(len(rows))]
-    plan = []
-    for k, (r, target) in enumerate(zip(rows, targets(sizes, own, amount * sum(sizes), most), strict=True)):
-        copies = target / sizes[k] if sizes[k] else 0.0
-        whole = min(math.floor(copies + 1e-12), math.floor(most))
-        plan.append((r["source"], k, sizes[k], target, whole, _snapped(max(0.0, copies - whole)), max(1, math.ceil(r["n"] / GROUP_DOCS))))
-    return spark.createDataFrame(plan, "source string, src long, source_size long, target double, whole int, share double, groups long")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("src") % len(weights) + 1).cast("int"))
+    sources = runtime.write_table(ranked_sources(totals).withColumn("weight", weight), "ranked")
+    total = amount * (sources.agg(F.sum("words")).first()[0] or 0)
+    unit = level_of(sources, total, most)
+    target = F.least(F.col("weight") * F.lit(unit), F.lit(float(most)) * F.col("words"))
+    copies = F.when(F.col("words") > 0, target / F.col("words")).otherwise(0e0)
+    whole = F.least(F.floor(copies + 1e-12), F.lit(math.floor(most))).cast("int")
+    share = F.greatest(copies - whole, F.lit(0e0))
+    snapped = F.when(share < 1e-9, 0e0).when(share > 1 - 1e-9, 1e0).otherwise(share)
+    return sources.select("source", "src", F.col("words").alias("source_size"), target.alias("target"), whole.alias("whole"), snapped.alias("share"), F.greatest(F.ceil(F.col("n") / GROUP_DOCS), F.lit(1)).cast("long").alias("groups"))
+
+
+def _apart(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``nth``, which tells rows apart that are equal in everything, in the same way on every run.
+
+    Equal rows are counted and numbered; the numbers are made in chunks that are dealt out first.
+    """
+    counted = sized.groupBy("id", "source", "size", "key").agg(F.count("*").alias("m"))
+    chunk = 4096
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / chunk))))
+    dealt = chunks.filter("m <= 4096").unionByName(chunks.filter("m > 4096").repartition("key", "chunk"))
+    nth = F.sequence(F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("m")) - 1)
+    return dealt.withColumn("nth", F.explode(nth)).drop("m", "chunk")
 
 
 def mix(
@@ -119,11 +170,12 @@ def mix(
     its words, so that a source's words equal its target rounded;
     ``residual="round"`` rounds it at random, so that every copy is whole.
 
-    Draws depend on the rows alone (id, text, size, source), so reruns agree.
+    Draws depend on the rows alone (id, text, size, source, and a number that tells
+    equal rows apart), so reruns agree, and equal rows spread over all groups.
     A null text has size 0; a null source is a source of its own, last in
     order; a source without words has target 0. Null ids are rounded like any
-    others. Repeated rows are separate rows of equal chances. An empty table
-    gives no rows; further columns are ignored, whatever their names.
+    others. Repeated rows are separate rows of equal chances. Long texts are counted whole; ties in size go by
+    a hash of the row. An empty table gives no rows; further columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     runtime.prepare(spark)
@@ -133,13 +185,14 @@ def mix(
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("key"),
     )
     sized = runtime.write_table(sized, "sizes")
-    totals = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()
-    plan = _plan(spark, totals, amount, most, weights)
-    small = F.broadcast(plan) if len(totals) <= BROADCAST_SOURCES else plan
-    rows = sized.join(small.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
-    rows = rows.select("id", "size", "source_size", "target", "whole", "share", "src", "key", F.pmod("key", "groups").alias("group"), F.lit(True).alias("done"))
-    groups = max([math.ceil(r["n"] / GROUP_DOCS) for r in totals], default=1)
-    settled, level = None, 0
+    totals = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    plan = runtime.write_table(_plan(totals, amount, most, weights), "plan")
+    n_sources, groups = plan.agg(F.count("*"), F.max("groups")).first()
+    small = F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan
+    rows = _apart(sized).join(small.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
+    group = F.pmod(F.xxhash64("key", "nth"), "groups")
+    rows = rows.select("id", "size", "source_size", "target", "whole", "share", "src", "key", "nth", group.alias("group"), F.lit(True).alias("done"))
+    settled, level, groups = None, 0, groups or 1
     while True:
         rows = runtime.write_table(rows.groupBy("src", "group").applyInArrow(_round_group(level, seed), rows.schema), f"level{level}")
         settled = rows if settled is None else settled.unionByName(rows)
@@ -150,7 +203,7 @@ def mix(
         groups, level = math.ceil(groups / FAN_IN), level + 1
     share = F.col("share")
     if residual == "round":
-        draw = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) / float(1 << 30)
+        draw = F.pmod(F.xxhash64(F.lit(seed), "key", "nth"), F.lit(1 << 30)) / float(1 << 30)
         share = F.when(F.col("done"), share).otherwise((draw < share).cast("double"))
     copies = F.col("whole") + share
     return settled.select(
@@ -163,8 +216,10 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id")
     """``docs`` with each row as often as ``mixed`` (made with ``residual="round"``) says.
 
     Rows that share an id get the most copies that any of them was given; a null
-    id matches itself.
+    id matches itself. Texts aren't looked at, so empty and long ones are like any others; empty tables
+    give no rows. Columns keep their names and values, whatever they are called.
     """
-    times = mixed.groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0")
-    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    own_id, copies, nth = (runtime.fresh(docs.columns, c) for c in ("mixed_id", "mixed_copies", "nth_copy"))
+    times = mixed.groupBy(F.col(id_col).alias(own_id)).agg(F.max("copies").cast("int").alias(copies)).filter(F.col(copies) > 0)
+    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col(own_id)))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

@@ -32,7 +32,7 @@ def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(runtime.read_table(spark, sf_dir, "documents"), amount=1.5, most=2.0).drop("copies")
+    return mix(runtime.read_table(spark, sf_dir, "documents"), amount=1.5, most=2.0, residual="round").drop("copies")
 
 
 def op5_backoff_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

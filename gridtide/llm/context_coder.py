@@ -1,17 +1,27 @@
 """Adaptive context-mixing range coder for token ids.
 
 Ids are cut into blocks that are coded independently. Within a block three
-models predict the next id: order 2 (what followed the last two ids), order 1
-(what followed the last one) and order 0 (adaptive frequencies of id classes).
-Their predictions are mixed by weights that adapt for each state of confidence,
-and a range coder codes the id with the mixed probability. Every block starts
-from fresh models and carries a checksum.
+models predict the next id:
 
-All blocks of a call are coded in lockstep, one numpy lane per block. Coder
-registers are whole numbers below 2**49 in float64, where every step is exact.
+- order 2 and order 1 predict the id that followed the last two ids, or the last
+  one, when they stood there before in the block. Their tables keep the context itself beside
+  the id, so a prediction is always made from the right context.
+- order 0 gives every id a frequency: that in the whole call, from a table in the head,
+  plus the ids counted in the block so far, taken over at ever longer distances.
 
-Layout (little-endian): magic, u32 ids in all, u32 ids per block, u32 blocks;
-then per block u32 words and u32 CRC-32 of its ids as u32; then the words (u16)
+Which of them is right is itself predicted: for each state of confidence the
+block counts how often order 2, order 1 or neither was, and these counts mix the
+three. A range coder codes that choice, and an id by order 0 where neither of the others has it. Every block
+starts with empty tables and counts, and carries a checksum.
+
+All blocks of a group are coded in lockstep, one numpy lane per block. An encoder
+knows all ids beforehand, so its predictions are made by sorting, without a loop over
+time; a decoder steps through the same tables. Coder registers are whole
+numbers below 2**49 in float64, where every step is exact.
+
+Layout (little-endian): magic, u32 ids in all, u32 ids per block, u32 blocks, u32
+distinct ids, u32 bytes of the deflated head (differences of the distinct ids as u32, then their
+frequencies as u16); the head; then per block u32 words and u32 CRC-32 of its ids as u32; then the words (u16)
 of all blocks.
 """
 
@@ -21,139 +31,160 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"GTCM0001"
-#: Ids of a block.
-BLOCK_IDS = 4096
-_T = 65536.0
-_TOP, _LOW_HALF, _SCALE = 2.0**48, 2.0**32, 2.0**-16
-_SHARE = 60000.0  # most of the 65536 slots that orders 1 and 2 can take
-_SLOTS = 4096  # slots of the order-0 model
-_RATE = 0.04
-_GAIN = 24.0
-_BITS1, _BITS2 = 11, 12  # of the context tables
-
-
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """First id and low bits of each id class: the larger the ids, the wider the class."""
-    first, bits = [], []
-    for low, high, width in ((0, 256, 2), (256, 1024, 3), (1024, 4096, 6), (4096, 16384, 9), (16384, 65536, 12), (65536, 262144, 14)):
-        ids = range(low, high, 1 << width)
-        first += ids
-        bits += [width] * len(ids)
-    return np.array(first, np.int64), np.array(bits, np.int64)
-
-
-_FIRST, _CLASS_BITS = _classes()
-_N = len(_FIRST)
+MAGIC = b"GTCM0002"
+#: Ids of a block, blocks that are coded in lockstep, and blocks that are modelled together when encoding.
+BLOCK_IDS, LANES, MODELLED = 4096, 1024, 64
+#: Ids are at most so large: 18 bits stand for one in the tables of contexts.
 MOST_ID = 262143
-_CLASS_OF = np.repeat(np.arange(_N), 1 << _CLASS_BITS)
-_INVERSE = 0.5 ** np.arange(17)
-
-
-class _Lanes:
-    """The models of all lanes, as encoder and decoder both run them."""
-
-    def __init__(self, lanes: int) -> None:
-        at = np.arange(lanes, dtype=np.int64)
-        self.base1, self.base2 = at << _BITS1, at << _BITS2
-        self.base_state, self.base_class = at * 32, at * _N
-        self.base_slot = at * _SLOTS
-        self.table1, self.table2 = np.zeros(lanes << _BITS1, np.int32), np.zeros(lanes << _BITS2, np.int32)
-        self.weight2, self.weight1 = np.full(lanes * 32, 0.05), np.full(lanes * 32, 0.05)
-        self.counts = np.full(lanes * _N, 2.0)
-        self.last = np.zeros(lanes, np.int64)
-        self.place1, self.place2 = self.base1.copy(), self.base2.copy()
-        self.rebuild()
-
-    def rebuild(self, look_up: bool = False) -> None:
-        counts = self.counts.reshape(-1, _N)
-        freq = 1 + np.floor(counts * ((_SLOTS - _N) / counts.sum(1, keepdims=True)))
-        freq[np.arange(len(freq)), freq.argmax(1)] += _SLOTS - freq.sum(1)
-        self.freq = freq.ravel()
-        self.cum = (np.cumsum(freq, 1) - freq).ravel()
-        if look_up:
-            self.slots = np.repeat(np.tile(np.arange(_N, dtype=np.int16), len(freq)), freq.ravel().astype(np.int64))
-
-    def predict(self, m: int) -> None:
-        """The two predicted ids of the first ``m`` lanes and the mixed slots: ``w2`` and ``w1`` for them, ``unit`` per order-0 slot."""
-        self.e1, self.e2 = self.table1[self.place1[:m]], self.table2[self.place2[:m]]
-        self.f1, self.f2 = self.e1 & 3, self.e2 & 3
-        self.c1, self.c2 = (self.e1 >> 2) - 1, (self.e2 >> 2) - 1
-        self.state = self.base_state[:m] + (self.f2 * 8 + self.f1 * 2 + (self.c1 == self.c2))
-        self.a2, self.a1 = self.weight2[self.state], self.weight1[self.state]
-        self.w2 = np.floor(self.a2 * _SHARE) + 1
-        self.unit = np.floor((_T - 1 - self.w2 - np.floor(self.a1 * _SHARE)) * (1 / _SLOTS))
-        self.known = _T - self.unit * _SLOTS
-        self.w1 = self.known - self.w2
-
-    def update(self, m: int, x: np.ndarray, k: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.weight2[self.state] = self.a2 + _RATE * (hit2 - self.a2)
-        self.weight1[self.state] = self.a1 + _RATE * (hit1 - self.a1)
-        fresh = ((x + 1) << 2).astype(np.int32)
-        for table, place, e, f, c in ((self.table2, self.place2, self.e2, self.f2, self.c2), (self.table1, self.place1, self.e1, self.f1, self.c1)):
-            table[place[:m]] = np.where(c == x, e + (f < 3), np.where(f > 0, e - 1, fresh))
-        self.counts[self.base_class[:m] + k] += _GAIN
-        mixed = x * 0x9E3779B1 & 0xFFFFFFFF
-        self.place1[:m] = self.base1[:m] + (mixed >> (32 - _BITS1))
-        self.place2[:m] = self.base2[:m] + (((mixed + self.last[:m] * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _BITS2))
-        self.last[:m] = x
-
-
-def _rebuilt(t: int) -> bool:
-    """Whether the order-0 model is rebuilt after step ``t``: often at first, then every 256 ids."""
-    return t % 256 == 0 or t in (8, 16, 32, 64, 128)
+_TOP, _LOW_HALF, _T = 2.0**48, 2.0**32, 65536.0
+_CHOICE, _SPREAD = 4096, 4000.0  # slots of the choice; those that counts share out
+_SLOTS = 1 << 20  # of order 0
+_PRIOR, _COUNT = 2500 << 8, 1 << 8  # weight of the whole call's frequencies, and of an id counted in the block
+_BITS1, _BITS2 = 11, 12  # places of the context tables
+_K1, _K2 = 0x9E3779B97F4A7C15 - (1 << 64), 0x2545F4914F6CDD1D
+_STATES = 64
+_GROUP_NUMBERS = 1 << 23  # entries of all lanes' order-0 tables
 
 
-def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
-    """Ids (0 to ``MOST_ID``) as coded bytes."""
-    ids = np.ascontiguousarray(ids, dtype="<u4")
-    if len(ids) and int(ids.max()) > MOST_ID:
-        raise ValueError(f"ids above {MOST_ID} can't be coded")
-    lanes = -(-len(ids) // block_ids)
-    head = MAGIC + np.array([len(ids), block_ids, lanes], "<u4").tobytes()
-    if not lanes:
-        return head
-    sums = [zlib.crc32(ids[k : k + block_ids]) for k in range(0, len(ids), block_ids)]
-    padded = np.zeros(lanes * block_ids, np.int64)
-    padded[: len(ids)] = ids
-    steps = np.ascontiguousarray(padded.reshape(lanes, block_ids).T)
-    del padded
-    last = len(ids) - (lanes - 1) * block_ids
-    model = _Lanes(lanes)
-    low, span = np.zeros(lanes), np.full(lanes, _TOP)
-    room = block_ids * 2 + 8
-    out, base, pos = np.zeros(lanes * room, np.uint32), np.arange(lanes, dtype=np.int64) * room, np.zeros(lanes, np.int64)
+def _epochs(block_ids: int) -> list[int]:
+    """Steps at which order 0 takes over the block's counts: 256 apart at first, then ever further."""
+    out, t, step = [0], 256, 256
+    while t < block_ids:
+        out.append(t)
+        if len(out) % 3 == 0:
+            step *= 2
+        t += step
+    return out
+
+
+def _place1(p1: np.ndarray) -> np.ndarray:
+    return ((p1 * _K1) >> 40) & ((1 << _BITS1) - 1)
+
+
+def _place2(pair: np.ndarray) -> np.ndarray:
+    return ((pair * _K2) >> 40) & ((1 << _BITS2) - 1)
+
+
+def _order0(prior: np.ndarray, counts: np.ndarray | None, stride: int = 0) -> np.ndarray:
+    """Cumulated slots, a row per lane (one row for all without counts), from 0 to ``_SLOTS``; padded to ``stride``."""
+    weight = np.maximum(prior * _PRIOR // prior.sum(), 1).astype(np.float64)[None, :]
+    if counts is not None:
+        weight = weight + counts * float(_COUNT)
+    width = weight.shape[1]
+    weight *= (_SLOTS - width) / weight.sum(1, keepdims=True)
+    freq = weight.astype(np.int32)
+    freq += 1
+    freq[np.arange(len(freq)), freq.argmax(1)] += _SLOTS - freq.sum(1)
+    out = np.full((len(freq), max(stride, width + 1)), _SLOTS, np.int32)
+    out[:, 0] = 0
+    np.cumsum(freq, 1, out=out[:, 1 : width + 1])
+    return out
+
+
+def _counted(lane: np.ndarray, x: np.ndarray, lanes: int, width: int) -> np.ndarray:
+    return np.bincount(lane * width + x, minlength=lanes * width).reshape(lanes, width).astype(np.int32)
+
+
+def _mixed(n: np.ndarray, a: np.ndarray, b: np.ndarray, has2: np.ndarray, has1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of order 2 and of order 1 after ``n`` visits of the state, of which ``a`` and ``b`` were theirs."""
+    unit = _SPREAD / (2 * n + has2 + has1 + 2)
+    return np.floor((2 * a + has2) * unit) + has2, np.floor((2 * b + has1) * unit) + has1
+
+
+# --- encoding
+
+
+def _followed(table: np.ndarray, context: np.ndarray, x: np.ndarray, step: np.ndarray, block_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the place ``table`` predicts at each step (-1: nothing), and its confidence (0: none, then 1 to 4)."""
+    shift = int(block_ids - 1).bit_length()
+    order = np.sort((table << shift) | step)
+    order = (order >> shift >> _BITS2) * block_ids + (order & ((1 << shift) - 1))  # lane and step
+    own, seen = context[order], x[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (own[1:] == own[:-1]) & (table[order[1:]] == table[order[:-1]])
+    hit = same.copy()
+    hit[1:] &= seen[1:] == seen[:-1]
+    at = np.arange(len(order))
+    run = at - np.maximum.accumulate(np.where(hit, -1, at))
+    said, sure = np.full(len(order), -1, np.int64), np.zeros(len(order), np.int64)
+    sure[order[1:]] = np.where(same[1:], np.minimum(run[:-1], 3) + 1, 0)
+    said[order[1:]] = np.where(same[1:], seen[:-1], -1)
+    return said, sure
+
+
+def _model(x: np.ndarray, block_ids: int, width: int, prior: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start and slots of the choice, start and slots of order 0 (0 and ``_SLOTS`` where it isn't asked): a row per block."""
+    lanes, n = x.shape
+    flat, lane = x.ravel(), np.repeat(np.arange(lanes), n)
+    step = np.tile(np.arange(n), lanes)
+    before = np.full((lanes, n + 2), width, np.int64)
+    before[:, 2:] = x
+    p1, p2 = before[:, 1:-1].ravel(), before[:, :-2].ravel()
+    pair = p1 * (width + 1) + p2
+    c1, f1 = _followed((lane << _BITS2) + _place1(p1), p1, flat, step, n)
+    c2, f2 = _followed((lane << _BITS2) + _place2(pair), pair, flat, step, n)
+    agree = (c1 == c2) & (f1 > 0)
+    hit2, hit1 = (c2 == flat) & (f2 > 0), (c1 == flat) & (f1 > 0) & ~agree
+    has2, has1 = f2 > 0, (f1 > 0) & ~agree
+    del c1, c2, p1, p2, pair, before
+    shift = int(n - 1).bit_length()
+    group = lane * _STATES + f2 * 10 + f1 * 2 + agree
+    order = np.sort((group << shift) | step)
+    new = np.concatenate([[True], (order[1:] >> shift) != (order[:-1] >> shift)])
+    order = (order >> shift) // _STATES * n + (order & ((1 << shift) - 1))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+
+    def so_far(h: np.ndarray) -> np.ndarray:
+        own = h[order]
+        total = np.cumsum(own) - own
+        return total - total[first]
 
-    def renormalise(m: int) -> None:
-        small = span[:m] < _LOW_HALF
-        word = np.floor(low[:m] * (1 / _LOW_HALF))
-        out[base[:m] + pos[:m]] = word
-        low[:m] = np.where(small, (low[:m] - word * _LOW_HALF) * _T, low[:m])
-        span[:m] *= np.where(small, _T, 1.0)
-        pos[:m] += small
+    w2, w1 = (np.empty(len(flat)) for _ in range(2))
+    w2[order], w1[order] = _mixed(np.arange(len(order)) - first, so_far(hit2), so_far(hit1), has2[order], has1[order])
+    start = np.where(hit2, 0, np.where(hit1, w2, w2 + w1))
+    slots = np.where(hit2, w2, np.where(hit1, w1, _CHOICE - w2 - w1))
+    missed = ~(hit2 | hit1)
+    low, wide = np.zeros((lanes, n), np.int32), np.full((lanes, n), _SLOTS, np.int32)
+    missed = missed.reshape(lanes, n)
+    counts, edges = np.zeros((lanes, width), np.int32), [*_epochs(n), n]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        table = np.broadcast_to(_order0(prior, counts if a else None), (lanes, width + 1))
+        own = x[:, a:b]
+        at, to = np.take_along_axis(table, own, 1), np.take_along_axis(table, own + 1, 1)
+        low[:, a:b], wide[:, a:b] = np.where(missed[:, a:b], at, 0), np.where(missed[:, a:b], to - at, _SLOTS)
+        if b < n:
+            counts += _counted(np.repeat(np.arange(lanes), b - a), own.ravel(), lanes, width)
+    shape = (lanes, n)
+    return start.reshape(shape).astype(np.uint16), slots.reshape(shape).astype(np.uint16), low, wide
 
-    for t in range(block_ids if lanes > 1 else last):
+
+def _coded(parts: list[tuple[np.ndarray, ...]], n: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each block, one after another, and how many each has. Only the last block may be shorter: ``last`` ids."""
+    start, slots, low0, slots0 = (np.ascontiguousarray(np.concatenate(x).T) for x in zip(*parts, strict=True))
+    lanes = start.shape[1]
+    low, span = np.zeros(lanes), np.full(lanes, _TOP)
+    room = n * 2 + 8
+    out, base, pos = np.zeros(lanes * room, np.uint32), np.arange(lanes, dtype=np.int64) * room, np.zeros(lanes, np.int64)
+    asked = slots0 < _SLOTS
+    for t in range(n if lanes > 1 else last):
         m = lanes if t < last else lanes - 1
-        x = steps[t, :m]
-        model.predict(m)
-        hit2 = model.c2 == x
-        hit1 = (model.c1 == x) & ~hit2
-        k = _CLASS_OF[x]
-        place = model.base_class[:m] + k
-        start = np.where(hit2, 0.0, np.where(hit1, model.w2, model.known + model.cum[place] * model.unit))
-        freq = np.where(hit2, model.w2, np.where(hit1, model.w1, model.freq[place] * model.unit))
-        unit = np.floor(span[:m] * _SCALE)
-        low[:m] += start * unit
-        span[:m] = freq * unit
-        renormalise(m)
-        bits = np.where(hit2 | hit1, 0, _CLASS_BITS[k])
-        unit = np.floor(span[:m] * _INVERSE[bits])
-        low[:m] += (x & ((1 << bits) - 1)) * unit
-        span[:m] = unit
-        renormalise(m)
-        model.update(m, x, k, hit2, hit1)
-        if _rebuilt(t):
-            model.rebuild()
+        lo, sp, ps, bs = low[:m], span[:m], pos[:m], base[:m]
+        unit = np.floor(sp * (1 / _CHOICE))
+        lo += start[t, :m] * unit
+        sp[:] = slots[t, :m] * unit
+        unit = np.where(asked[t, :m], np.floor(sp * (1 / _SLOTS)), sp * (1 / _SLOTS))
+        lo += low0[t, :m] * unit
+        sp[:] = slots0[t, :m] * unit
+        small = np.flatnonzero(sp < _LOW_HALF)
+        while len(small):
+            own = lo[small]
+            word = np.floor(own * (1 / _LOW_HALF))
+            out[bs[small] + ps[small]] = word
+            lo[small] = (own - word * _LOW_HALF) * _T
+            wider = sp[small] * _T
+            sp[small] = wider
+            ps[small] += 1
+            small = small[wider < _LOW_HALF]
     for _ in range(3):
         word = np.floor(low * (1 / _LOW_HALF))
         out[base + pos] = word
@@ -163,74 +194,156 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     while (carry := words >> np.uint32(16)).any():
         words &= np.uint32(0xFFFF)
         words[:, :-1] += carry[:, 1:]
-    kept = words[np.arange(room) < pos[:, None]].astype("<u2")
-    return b"".join([head, np.stack([pos, np.array(sums, np.int64)], 1).astype("<u4").tobytes(), kept.tobytes()])
+    return words[np.arange(room) < pos[:, None]].astype("<u2"), pos
+
+
+def _lane_groups(lanes: int, width: int) -> list[tuple[int, int]]:
+    size = max(1, min(LANES, _GROUP_NUMBERS // (width + 1)))
+    return [(a, min(a + size, lanes)) for a in range(0, lanes, size)]
+
+
+def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
+    """Ids (0 to ``MOST_ID``) as coded bytes."""
+    ids = np.ascontiguousarray(ids, dtype="<u4")
+    if len(ids) and int(ids.max()) > MOST_ID:
+        raise ValueError(f"ids above {MOST_ID} can't be coded")
+    lanes = -(-len(ids) // block_ids)
+    if not lanes:
+        return MAGIC + np.array([0, block_ids, 0, 0, 0], "<u4").tobytes()
+    sums = [zlib.crc32(ids[k : k + block_ids]) for k in range(0, len(ids), block_ids)]
+    counts = np.bincount(ids)
+    names = np.flatnonzero(counts)
+    dense = np.zeros(len(counts), np.int64)
+    dense[names] = np.arange(len(names))
+    counts = counts[names]
+    prior = np.maximum(counts * 65535 // counts.max(), 1)
+    head = zlib.compress(np.diff(names, prepend=0).astype("<u4").tobytes() + prior.astype("<u2").tobytes(), 9)
+    last, table, words = len(ids) - (lanes - 1) * block_ids, [], []
+    n = block_ids if lanes > 1 else last
+    for a, b in _lane_groups(lanes, len(names)):
+        parts = []
+        for c in range(a, b, MODELLED):
+            own = ids[c * block_ids : min(c + MODELLED, b) * block_ids]
+            x = np.zeros((min(c + MODELLED, b) - c) * n, np.int64)
+            x[: len(own)] = dense[own]
+            parts.append(_model(x.reshape(-1, n), n, len(names), prior.astype(np.int64)))
+        coded, pos = _coded(parts, n, last if b == lanes else n)
+        words.append(coded.tobytes())
+        table += pos.tolist()
+    blocks = np.stack([np.array(table, np.int64), np.array(sums, np.int64)], 1).astype("<u4").tobytes()
+    return b"".join([MAGIC, np.array([len(ids), block_ids, lanes, len(names), len(head)], "<u4").tobytes(), head, blocks, *words])
+
+
+# --- decoding
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids again (uint32); an error if the bytes aren't whole or a block's checksum differs."""
-    if data[:8] != MAGIC or len(data) < 20:
+    if data[:8] != MAGIC or len(data) < 28:
         raise ValueError("not a coded id block file")
-    n, block_ids, lanes = np.frombuffer(data, "<u4", 3, 8).astype(np.int64).tolist()
+    n, block_ids, lanes, width, size = np.frombuffer(data, "<u4", 5, 8).astype(np.int64).tolist()
     if not lanes:
         return np.zeros(0, np.uint32)
-    if len(data) < 20 + 8 * lanes:
+    if not block_ids or lanes != -(-n // block_ids) or len(data) < 28 + size + 8 * lanes:
         raise ValueError("the block table is cut off")
-    table = np.frombuffer(data, "<u4", 2 * lanes, 20).reshape(lanes, 2).astype(np.int64)
-    lens, sums = table[:, 0], table[:, 1]
-    kept = np.frombuffer(data, "<u2", -1, 20 + 8 * lanes)
-    if len(kept) != lens.sum():
+    try:
+        head = zlib.decompress(data[28 : 28 + size])
+    except zlib.error as e:
+        raise ValueError("the head is damaged") from e
+    if not width or len(head) != 6 * width:
+        raise ValueError("the head is damaged")
+    names, prior = np.cumsum(np.frombuffer(head, "<u4", width).astype(np.int64)), np.frombuffer(head, "<u2", width, 4 * width).astype(np.int64)
+    table = np.frombuffer(data, "<u4", 2 * lanes, 28 + size).reshape(lanes, 2).astype(np.int64)
+    kept = np.frombuffer(data[28 + size + 8 * lanes :], np.uint8)
+    if len(kept) != 2 * table[:, 0].sum() or names[-1] > MOST_ID:
         raise ValueError("the coded words are cut off")
-    room = int(lens.max()) + 4
+    kept, at, out = kept.view("<u2"), np.concatenate([[0], np.cumsum(table[:, 0])]), []
+    last = n - (lanes - 1) * block_ids
+    steps = block_ids if lanes > 1 else last
+    for a, b in _lane_groups(lanes, width):
+        x = _decoded(kept[at[a] : at[b]], table[a:b, 0], steps, last if b == lanes else steps, width, prior)
+        out.append(names[x].astype("<u4"))
+    ids = np.ascontiguousarray(np.concatenate(out).ravel()[:n])
+    for i in range(lanes):
+        if zlib.crc32(ids[i * block_ids : (i + 1) * block_ids]) != table[i, 1]:
+            raise ValueError(f"block {i} fails its checksum")
+    return ids
+
+
+def _decoded(kept: np.ndarray, lens: np.ndarray, n: int, last: int, width: int, prior: np.ndarray) -> np.ndarray:
+    """Places of ids in the table of distinct ones, a row per block."""
+    lanes, room = len(lens), int(lens.max()) + 4
     words = np.zeros((lanes, room))
     words[np.arange(room) < lens[:, None]] = kept
     words = words.ravel()
     base = np.arange(lanes, dtype=np.int64) * room
     limit, pos = base + room - 1, base + 3
     code = words[base] * _LOW_HALF + words[base + 1] * _T + words[base + 2]
-    span = np.full(lanes, _TOP)
-    last = n - (lanes - 1) * block_ids
-    model, out = _Lanes(lanes), np.zeros((block_ids, lanes), np.uint32)
-    model.rebuild(True)
-
-    def renormalise(m: int) -> None:
-        small = span[:m] < _LOW_HALF
-        code[:m] = np.where(small, code[:m] * _T + words[np.minimum(pos[:m], limit[:m])], code[:m])
-        span[:m] *= np.where(small, _T, 1.0)
-        pos[:m] += small
-
-    for t in range(block_ids if lanes > 1 else last):
+    span, out = np.full(lanes, _TOP), np.zeros((n, lanes), np.int64)
+    lane = np.arange(lanes, dtype=np.int64)
+    bits = int(width).bit_length()
+    base1, base2, base_state, base0 = lane << _BITS1, lane << _BITS2, lane * _STATES, lane << bits
+    halves = [1 << k for k in range(bits - 1, -1, -1)]
+    table1, table2 = np.full(lanes << _BITS1, -1, np.int64), np.full(lanes << _BITS2, -1, np.int64)
+    seen, seen2, seen1 = (np.zeros(lanes * _STATES) for _ in range(3))
+    counts, epochs = np.zeros((lanes, width), np.int32), set(_epochs(n))
+    p1 = np.full(lanes, width, np.int64)
+    pair = p1 * (width + 1) + width
+    since = 0
+    for t in range(n if lanes > 1 else last):
         m = lanes if t < last else lanes - 1
-        model.predict(m)
-        unit = np.floor(span[:m] * _SCALE)
-        v = np.minimum(np.floor(code[:m] / unit), _T - 1)
-        hit2 = v < model.w2
-        hit1 = (v < model.known) & ~hit2
-        slot = np.maximum(np.floor((v - model.known) / model.unit), 0.0).astype(np.int64)
-        k = model.slots[model.base_slot[:m] + slot].astype(np.int64)
-        place = model.base_class[:m] + k
-        start = np.where(hit2, 0.0, np.where(hit1, model.w2, model.known + model.cum[place] * model.unit))
-        freq = np.where(hit2, model.w2, np.where(hit1, model.w1, model.freq[place] * model.unit))
-        code[:m] -= start * unit
-        span[:m] = freq * unit
-        renormalise(m)
-        known = hit2 | hit1
-        bits = np.where(known, 0, _CLASS_BITS[k])
-        unit = np.floor(span[:m] * _INVERSE[bits])
-        rest = np.floor(code[:m] / unit)
-        code[:m] -= rest * unit
-        span[:m] = unit
-        renormalise(m)
-        x = np.where(known, np.where(hit2, model.c2, model.c1), _FIRST[k] + rest.astype(np.int64))
-        if (x < 0).any() or (x > MOST_ID).any():
-            raise ValueError("a coded block is damaged")
-        k = np.where(known, _CLASS_OF[x], k)
+        if t in epochs:
+            if t:
+                counts += _counted(np.tile(lane[:m], t - since), out[since:t, :m].ravel(), lanes, width)
+            cum = np.broadcast_to(_order0(prior, counts if t else None, 1 << bits), (lanes, 1 << bits)).ravel()
+            since = t
+        cd, sp, ps = code[:m], span[:m], pos[:m]
+        c1, c2 = p1[:m], pair[:m]
+        at1, at2 = base1[:m] + _place1(c1), base2[:m] + _place2(c2)
+        e1, e2 = table1[at1], table2[at2]
+        has1, has2 = (e1 >> 20) == c1, (e2 >> 20) == c2
+        x1, x2 = (e1 >> 2) & MOST_ID, (e2 >> 2) & MOST_ID
+        agree = has1 & has2 & (x1 == x2)
+        state = base_state[:m] + ((e2 & 3) + 1) * has2 * 10 + ((e1 & 3) + 1) * has1 * 2 + agree
+        n0, n2, n1 = seen[state], seen2[state], seen1[state]
+        w2, w1 = _mixed(n0, n2, n1, has2, has1 & ~agree)
+        known = w2 + w1
+        unit = np.floor(sp * (1 / _CHOICE))
+        v = np.floor(cd / unit)
+        hit2 = v < w2
+        hit = v < known
+        missed = np.flatnonzero(~hit)
+        cd -= (w2 * ~hit2 + w1 * ~hit) * unit
+        np.multiply(np.where(hit2, w2, np.where(hit, w1, _CHOICE - known)), unit, out=sp)
+        x = np.where(hit2, x2, x1)
+        if len(missed):
+            unit = np.floor(sp[missed] * (1 / _SLOTS))
+            own = cd[missed]
+            v = np.minimum(own / unit, _SLOTS - 1).astype(np.int32)
+            found = base0[missed]
+            for half in halves:  # the last id whose slots begin at v or before
+                found += half * (cum[found + half] <= v)
+            low = cum[found]
+            cd[missed] = own - low * unit
+            sp[missed] = (cum[found + 1] - low) * unit
+            x[missed] = found - base0[missed]
+            if (x < 0).any() or (x >= width).any():
+                raise ValueError("a coded block is damaged")
+        small = np.flatnonzero(sp < _LOW_HALF)
+        while len(small):
+            cd[small] = cd[small] * _T + words[np.minimum(ps[small], limit[small])]
+            wider = sp[small] * _T
+            sp[small] = wider
+            ps[small] += 1
+            small = small[wider < _LOW_HALF]
+            if len(small) and (not wider.all() or (ps > limit[:m] + 8).any()):
+                raise ValueError("a coded block is damaged")
         out[t, :m] = x
-        model.update(m, x, k, hit2, hit1)
-        if _rebuilt(t):
-            model.rebuild(True)
-    ids = np.ascontiguousarray(out.T, dtype="<u4").ravel()[:n]
-    for i in range(lanes):
-        if zlib.crc32(ids[i * block_ids : (i + 1) * block_ids]) != sums[i]:
-            raise ValueError(f"block {i} fails its checksum")
-    return ids
+        seen[state], seen2[state], seen1[state] = n0 + 1, n2 + hit2, n1 + (hit & ~hit2)
+        x <<= 2
+        table1[at1] = (c1 << 20) | x | (np.minimum((e1 & 3) + 1, 3) * (has1 & (x1 << 2 == x)))
+        table2[at2] = (c2 << 20) | x | (np.minimum((e2 & 3) + 1, 3) * (has2 & (x2 << 2 == x)))
+        x >>= 2
+        pair[:m] = x * (width + 1) + c1
+        p1[:m] = x
+    return out.T

@@ -31,6 +31,9 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end: int, path: str | No
     Columns: ``part`` and ``seq`` (order of the shards), ``before`` (ids of the
     part before this shard), ``n_ids``, ``ids`` and ``lengths`` of the
     documents, ``data``. It is written to ``path``, else to the shared folder.
+    Null and empty texts have the end id alone, long ones are encoded whole; rows that repeat an
+    id, or have none, may lie in several parts, next to each other. An empty
+    table gives no shards; further columns are ignored, whatever their names.
     """
     runtime.prepare(docs.sparkSession)
 
@@ -49,8 +52,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end: int, path: str | No
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "before", "n_ids", "ids", "lengths", "data"])
 
         for batch in batches:
-            for a, b, texts in pieces.text_batches(batch.column(1), min(pieces.BATCH_BYTES, 2 * shard_ids)):
-                more, lengths = own.ids(texts, end=end)
+            for a, b, more, lengths in own.batches(batch.column(1), end, min(pieces.BATCH_BYTES, 2 * shard_ids)):
                 ids.append(more.astype(np.uint32))
                 lens.append(lengths)
                 names.append(batch.column(0)[a:b])
@@ -62,10 +64,10 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end: int, path: str | No
         if held:
             yield shard()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("mark"))
     kind = rows.schema[0].dataType.simpleString()
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
-    shards = ordered.mapInArrow(write, f"part int, seq int, before long, n_ids long, ids array<{kind}>, lengths array<long>, data binary")
+    ordered = rows.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark")  # by mark, rows that repeat an id spread
+    shards = ordered.mapInArrow(pieces.tidy(write, encodes=True), f"part int, seq int, before long, n_ids long, ids array<{kind}>, lengths array<long>, data binary")
     if path is None:
         return runtime.write_table(shards, "shards")
     shards.write.parquet(path)
@@ -73,7 +75,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end: int, path: str | No
 
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
-    """``id, start, ids`` of each document, decoded: ids as an array."""
+    """``id, start, n_tokens, ids`` of each document, decoded: ids as an array. No shards give no rows; damaged ones raise."""
     return _decoded(shards, "ids array<int>", lambda ids: pa.array(ids.astype(np.int32)), nested=True)
 
 
@@ -91,6 +93,8 @@ def _decoded(shards: DataFrame, column: str, digest, nested: bool) -> DataFrame:
                 names, lengths = batch.column(1)[k].values, batch.column(2)[k].values.to_numpy()
                 stops = np.cumsum(lengths)
                 starts = stops - lengths
+                if len(names) != len(lengths) or int(lengths.sum()) != len(all_ids):
+                    raise ValueError("the lengths of a shard's documents don't fit its ids")
                 if nested:
                     values = pa.ListArray.from_arrays(pa.array(np.append(starts, stops[-1:]), pa.int32()), digest(all_ids))
                 else:
@@ -107,13 +111,13 @@ def _decoded(shards: DataFrame, column: str, digest, nested: bool) -> DataFrame:
     offsets = spark.createDataFrame(placed, "part int, ahead long")  # a row per write task
     rows = shards.join(F.broadcast(offsets), "part").select((F.col("ahead") + F.col("before")).alias("ahead"), "ids", "lengths", "data")
     kind = shards.schema["ids"].dataType.elementType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, start long, n_tokens long, {column}")
+    return rows.mapInArrow(pieces.tidy(run), f"id {kind}, start long, n_tokens long, {column}")
 
 
 def tokenize_corpus(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the coded shards of ``docs``, read them back: one row per row of ``docs``.
 
-    A null text counts as empty and has the end id alone. Rows with a null id
+    A null text counts as empty and has the end id alone; a long one is encoded whole. Rows with a null id
     come first; rows that repeat an id follow each other in any order. An empty
     table gives no rows; further columns are ignored, whatever their names.
     """

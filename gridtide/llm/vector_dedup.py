@@ -6,6 +6,11 @@ Vectors that share a bucket in some table are compared by exact cosine. Large
 buckets are cut into blocks, and a task compares two blocks by one matrix
 product; it returns link counts and a spanning forest, never the pairs. A pair
 counts in the first table that brings it together only.
+
+This is done twice. At first rows carry a sketch of a byte a part, which
+tells with certainty who has no partner in a bucket; then only those that may
+have one meet with their whole vectors. Keys of other tables are not
+carried but worked out again from the vectors of the pairs found.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks, runtime
+from . import blocks, pieces, runtime
 from .components import connected_components
 
 #: Quantisation width for unit vectors.
@@ -41,9 +46,45 @@ def table_plan(n: int, cosine: float) -> tuple[int, int]:
     return projections, max(1, math.ceil(math.log(MISS) / math.log1p(-(near**projections))))
 
 
+#: Steps of a unit vector's parts and of the directions' parts, as they are projected. Sums of their products are whole
+#: numbers below 2**53, so a bucket is the same on every machine, in whatever order it is summed.
+VECTOR_STEPS, DIRECTION_STEPS = 1 << 15, 1 << 12
+
+
 def _directions(dim: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` directions and shifts, in whole steps."""
     draw = np.random.Generator(np.random.Philox([31, dim]))
-    return draw.standard_normal((n, dim)), draw.uniform(0, WIDTH, n)
+    across = np.rint(draw.standard_normal((n, dim)) * DIRECTION_STEPS)
+    return across, np.floor(draw.uniform(0, WIDTH, n) * (VECTOR_STEPS * DIRECTION_STEPS))
+
+
+class _Buckets:
+    """The buckets of unit vectors in a number of tables."""
+
+    def __init__(self, projections: int, tables: int) -> None:
+        self.projections, self.tables = projections, tables
+        self._known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._step = np.random.Generator(np.random.Philox(32)).integers(1, 1 << 63, (tables, projections + 2), dtype=np.uint64) | np.uint64(1)
+
+    def of(self, unit: np.ndarray, label: int, tables: int | None = None) -> np.ndarray:
+        """The vector's bucket in each of the first ``tables`` tables; ``label`` is a hash of its label."""
+        n = self.tables if tables is None else tables
+        if len(unit) not in self._known:
+            self._known[len(unit)] = _directions(len(unit), self.projections * self.tables)
+        across, shift = (x[: n * self.projections] for x in self._known[len(unit)])
+        cells = np.floor((across @ np.rint(unit * VECTOR_STEPS) + shift) / (WIDTH * VECTOR_STEPS * DIRECTION_STEPS))
+        cells = cells.astype(np.int64).view(np.uint64).reshape(n, self.projections)
+        step = self._step[:n]
+        own = (cells * step[:, : self.projections]).sum(1) + step[:, self.projections] * np.uint64(len(unit))
+        own += step[:, self.projections + 1] * np.uint64(label & ((1 << 64) - 1))
+        return ((own ^ (own >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def sketch(unit: np.ndarray) -> tuple[bytes, float, float]:
+    """The unit vector in a byte a part, the size of a step, and the length of what rounding left out."""
+    step = float(np.abs(unit).max()) / 127
+    whole = np.rint(unit / step).astype(np.int8)
+    return whole.tobytes(), step, float(np.linalg.norm(unit - whole * step))
 
 
 def _rows(column: pa.Array) -> list[np.ndarray | None]:
@@ -74,48 +115,93 @@ def _vectors(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(hashes, pa.binary())], names=["id", "label", "vec", "vhash"])
 
     kinds = [f.dataType.simpleString() for f in rows.schema]
-    return rows.mapInArrow(run, f"id {kinds[0]}, label {kinds[1]}, vec binary, vhash binary")
+    return rows.mapInArrow(pieces.tidy(run), f"id {kinds[0]}, label {kinds[1]}, vec binary, vhash binary")
 
 
-def _bucketed(classes: DataFrame, projections: int, tables: int) -> DataFrame:
-    """``rep, keys``: the bucket of each table."""
+def _posted(classes: DataFrame, projections: int, tables: int) -> DataFrame:
+    """``rep, n_dims, label, sketch, step, lost, keys``: a vector's sketch, and its bucket in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        step = np.random.Generator(np.random.Philox(32)).integers(1, 1 << 63, (tables, projections + 2), dtype=np.uint64) | np.uint64(1)
+        buckets = _Buckets(projections, tables)
         for batch in batches:
-            keys = np.empty((batch.num_rows, tables), np.uint64)
-            for k in range(batch.num_rows):
-                v = _unit(np.frombuffer(batch.column(2)[k].as_py()))
-                if len(v) not in known:
-                    known[len(v)] = _directions(len(v), projections * tables)
-                across, shift = known[len(v)]
-                cells = np.floor((across @ v + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(tables, projections)
-                own = (cells * step[:, :projections]).sum(1) + step[:, projections] * np.uint64(len(v))
-                own += step[:, projections + 1] * np.uint64(batch.column(1)[k].as_py() & ((1 << 64) - 1))
-                keys[k] = (own ^ (own >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-            flat = pa.array(keys.view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32()), flat)], names=["rep", "keys"])
+            for a in range(0, batch.num_rows, 256):  # a bounded number of keys at a time
+                part = batch.slice(a, 256)
+                units = [_unit(np.frombuffer(v)) for v in part.column(2).to_pylist()]
+                keys = [buckets.of(u, label) for u, label in zip(units, part.column(1).to_pylist(), strict=True)]
+                made, step, lost = zip(*map(sketch, units), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array([len(u) for u in units], pa.int32()), part.column(1), pa.array(made, pa.binary()), pa.array(step, pa.float64()), pa.array(lost, pa.float64()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * tables, pa.int32()), pa.array(np.concatenate(keys))),
+                    ],
+                    names=["rep", "n_dims", "label", "sketch", "step", "lost", "keys"],
+                )
 
     rows = classes.select("rep", F.xxhash64("label").alias("label"), "vec")
-    return rows.mapInArrow(run, f"rep {rows.schema[0].dataType.simpleString()}, keys array<bigint>")
+    return rows.mapInArrow(pieces.tidy(run), f"rep {rows.schema[0].dataType.simpleString()}, n_dims int, label long, sketch binary, step double, lost double, keys array<bigint>")
+
+
+def _alike(unit: pa.Table) -> list[np.ndarray]:
+    """Rows of the unit by length of their vectors and label: only these are compared with each other."""
+    kind = np.stack([unit.column("n_dims").to_numpy(), unit.column("label").to_numpy()])
+    _, own = np.unique(kind, axis=1, return_inverse=True)
+    return [np.flatnonzero(own == k) for k in range(own.max() + 1)]
+
+
+def _near(unit: pa.Table, vectors: np.ndarray, rows: np.ndarray, least: np.ndarray | float, spare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``rows`` whose vectors' product is ``least`` (less what ``spare`` allows both), each pair of the unit once."""
+    left, right, same = blocks.sides(unit)
+    place = np.full(unit.num_rows, -1)
+    place[rows] = np.arange(len(rows))
+    left, right = left[place[left] >= 0], right[place[right] >= 0]
+    product = vectors[place[left]] @ vectors[place[right]].T
+    if spare is not None:
+        product += spare[left][:, None] + spare[right]
+    x, y = np.nonzero(product >= least)
+    x, y = left[x], right[y]
+    return (x[x < y], y[x < y]) if same else (x, y)
 
 
-def _compare(cosine: float):
-    """Sorted rows of block pairs in; ``rep, links, other`` out: link counts, and a forest's links where not null."""
+def _active(cosine: float):
+    """``t, bucket, rep`` of the rows that may have a partner in a unit of block pairs, as far as sketches tell.
 
-    def pairs(unit: pa.Table) -> pa.RecordBatch | None:
-        t = unit.column("t")[0].as_py()
-        vectors = np.stack([_unit(np.frombuffer(x)) for x in unit.column("vec").to_pylist()])
+    The product of two sketches is off by at most what rounding left out of
+    both vectors (their lengths are 1), so no partner is missed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in blocks.units(batches, "t", "bucket"):
+            lost = unit.column("lost").to_numpy()
+            spare, found = lost * (1 + lost) + 1e-9, []
+            for rows in _alike(unit):
+                if len(rows) > 1:
+                    whole = np.frombuffer(b"".join(unit.column("sketch").take(pa.array(rows)).to_pylist()), np.int8).reshape(len(rows), -1)
+                    found += _near(unit, whole * unit.column("step").to_numpy()[rows][:, None], rows, cosine, spare)
+            if found and len(own := np.unique(np.concatenate(found))):
+                yield unit.select(["t", "bucket", "rep"]).take(pa.array(own)).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def _compare(cosine: float, projections: int, tables: int):
+    """Sorted rows of block pairs in; ``rep, links, other`` out: link counts, and a forest's links where not null.
+
+    A pair counts in the first table that it shares.
+    """
+
+    def pairs(unit: pa.Table, buckets: _Buckets) -> pa.RecordBatch | None:
+        t, labels = unit.column("t")[0].as_py(), unit.column("label").to_pylist()
+        units = [_unit(np.frombuffer(x)) for x in unit.column("vec").to_pylist()]
         rep, n = (unit.column(c).to_numpy() for c in ("rep", "n"))
-        keys = np.asarray(unit.column("keys").combine_chunks().flatten()).reshape(len(rep), -1)
-        left, right, same = blocks.sides(unit)
-        x, y = np.nonzero(vectors[left] @ vectors[right].T >= cosine)
-        x, y = left[x], right[y]
-        if same:
-            x, y = x[x < y], y[x < y]
-        earlier = (keys[x, :t] == keys[y, :t]).any(1) if t else np.zeros(len(x), bool)
-        x, y = x[~earlier], y[~earlier]
+        found = [_near(unit, np.stack([units[k] for k in rows]), rows, cosine) for rows in _alike(unit) if len(rows) > 1]
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        if t and len(x):
+            own = np.unique(np.concatenate([x, y]))
+            keys = np.stack([buckets.of(units[k], labels[k], t) for k in own])
+            px, py, first = np.searchsorted(own, x), np.searchsorted(own, y), np.ones(len(x), bool)
+            for k in range(0, len(x), 4096):
+                first[k : k + 4096] = ~(keys[px[k : k + 4096]] == keys[py[k : k + 4096]]).any(1)
+            x, y = x[first], y[first]
         if not len(x):
             return None
         links = np.bincount(x, n[y], len(rep)) + np.bincount(y, n[x], len(rep))
@@ -124,8 +210,9 @@ def _compare(cosine: float):
         return pa.RecordBatch.from_arrays([pa.array(rep[has]), pa.array(links[has].astype(np.int64)), pa.array(other)], names=["rep", "links", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets(projections, tables)
         for unit in blocks.units(batches, "t", "bucket"):
-            if (found := pairs(unit)) is not None:
+            if (found := pairs(unit, buckets)) is not None:
                 yield found
 
     return run
@@ -146,7 +233,7 @@ def near_vectors(
     Vectors that are null, empty or zero, or that hold null or non-finite parts,
     are linked with nothing, as are rows with a null id (whose component is null;
     they are kept). Vectors of different lengths aren't linked. Rows that repeat
-    an id count as separate vectors of one name. An empty table gives no rows;
+    an id count as separate vectors of one name. Cosines at the threshold count (ties). An empty table gives no rows;
     further columns are ignored, whatever their names.
     """
     spark = rows.sparkSession
@@ -158,15 +245,20 @@ def near_vectors(
     classes = linkable.groupBy("label", "vhash").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by("vec", "id").alias("vec"))
     classes = runtime.write_table(classes, "classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    keyed = runtime.write_table(_bucketed(classes, *table_plan(most, cosine)), "keys")
-
-    entries = keyed.select("rep", F.posexplode("keys").alias("t", "bucket"))
-    sizes = entries.groupBy("t", "bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    placed = blocks.block_pairs(entries.join(sizes, ["t", "bucket"]), "m", "rep", block).drop("m")
-    full = placed.join(keyed, "rep").join(classes.select("rep", "n", "vec"), "rep")
-    full = blocks.by_unit(full, "t", "bucket")
+    projections, tables = table_plan(most, cosine)
+    posted = runtime.write_table(_posted(classes, projections, tables), "posted")
+
+    entries = posted.select("rep", "n_dims", "label", "sketch", "step", "lost", F.posexplode("keys").alias("t", "bucket"))
+    sizes = runtime.write_table(entries.groupBy("t", "bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    placed = blocks.block_pairs(blocks.told(entries, sizes, ["t", "bucket"], "m"), "m", "rep", block).drop("m")
+    own = "t int, bucket long, rep " + vectors.schema["id"].dataType.simpleString()
+    active = runtime.write_table(blocks.by_unit(placed, "t", "bucket").mapInArrow(pieces.tidy(_active(cosine)), own).distinct(), "active")
+
+    sizes = runtime.write_table(active.groupBy("t", "bucket").agg(F.count("*").alias("m")), "active_buckets")
+    full = blocks.told(active, sizes, ["t", "bucket"], "m").join(classes.select("rep", "n", F.xxhash64("label").alias("label"), "vec"), "rep")
+    full = blocks.by_unit(blocks.block_pairs(full.withColumn("n_dims", F.octet_length("vec")), "m", "rep", block).drop("m"), "t", "bucket")
     kind = vectors.schema["id"].dataType.simpleString()
-    found = runtime.write_table(full.mapInArrow(_compare(cosine), f"rep {kind}, links long, other {kind}"), "found")
+    found = runtime.write_table(full.mapInArrow(pieces.tidy(_compare(cosine, projections, tables)), f"rep {kind}, links long, other {kind}"), "found")
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")

@@ -7,12 +7,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Native cadences, coarser last, and accepted aliases.
+#: Native cadences, coarser last, and accepted aliases.
 CADENCES = ("1H", "3H", "1D", "1MS", "1YS")
 ALIASES = {"H": "1H", "1H": "1H", "3H": "3H", "D": "1D", "1D": "1D", "W": "1W", "1W": "1W", "7D": "1W", "M": "1MS", "MS": "1MS", "1M": "1MS", "1MS": "1MS", "Y": "1YS", "YS": "1YS", "1Y": "1YS", "1YS": "1YS"}
 SECONDS = {"1H": 3600, "3H": 10800, "1D": 86400, "1W": 604800}
 UNIT_OF = {"1H": "hour", "1D": "day", "1MS": "month", "1YS": "year"}
-#: Pyramid units and the cadence of their labels.
+#: Pyramid units and the cadence of their labels.
 TIME_UNITS = ("Source", "Hour", "Day", "Month", "Year")
 UNIT_CADENCE = {"Hour": "1H", "Day": "1D", "Month": "1MS", "Year": "1YS"}
 

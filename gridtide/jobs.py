@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -20,6 +21,8 @@ from .plans.engine import Engine, serialize
 
 OUTPUTS = ("plot-json", "png", "parquet")
 PLOTTED = ("timeseries", "heatmap", "find-time", "find-area")
+#: A running job's folder holds a file of this name, so that its folder is not cleaned away.
+ACTIVE = ".active"
 _JOB_FOLDER = re.compile(r"[0-9a-f]{32}")
 
 
@@ -47,8 +50,8 @@ class Job:
 class JobService:
     """Runs queries of one engine; jobs live in memory, results for ``result_ttl_seconds``."""
 
-    def __init__(self, engine: Engine, settings: Settings, folder: str | Path, workers: int = 2, waiting: int = 10) -> None:
-        self.engine, self.settings, self.folder, self.waiting = engine, settings, Path(folder), waiting
+    def __init__(self, engine: Engine, settings: Settings, folder: str | Path, workers: int = 2, waiting: int = 10, per_owner: int = 3) -> None:
+        self.engine, self.settings, self.folder, self.waiting, self.per_owner = engine, settings, Path(folder), waiting, per_owner
         self._jobs: dict[str, Job] = {}
         self._lock = threading.Lock()
         self._pool = ThreadPoolExecutor(workers, "query-job")
@@ -58,7 +61,7 @@ class JobService:
         if not outputs or not set(outputs) <= set(OUTPUTS):
             raise ValueError(f"outputs must be among {', '.join(OUTPUTS)}")
         plan = self.engine.plan(query)
-        if "png" in outputs and plan.query.function not in PLOTTED:
+        if "png" in outputs and plan.query.operation.function not in PLOTTED:
             raise ValueError(f"png is only made of {', '.join(PLOTTED)}")
         return self.engine.enforce_limits(plan)
 
@@ -66,8 +69,11 @@ class JobService:
         self.validate(query, outputs)
         self.expire()
         with self._lock:
-            if sum(j.state == "queued" for j in self._jobs.values()) >= self.waiting:
+            active = [j for j in self._jobs.values() if j.state in ("queued", "running")]
+            if len(active) >= self.waiting:
                 raise QueueFull("the queue is full; try again later")
+            if sum(j.owner == owner for j in active) >= self.per_owner:
+                raise QueueFull(f"{owner} has {self.per_owner} jobs that haven't ended")
             job = Job(uuid.uuid4().hex, query, tuple(outputs), owner)
             self._jobs[job.id] = job
         append_query_log(self.folder / "query_log.jsonl", job, client)
@@ -79,8 +85,10 @@ class JobService:
             if job.state != "queued":
                 return
             job.state = "running"
-        spark = self.engine.store.spark
+        spark, mark = self.engine.store.spark, self.folder / job.id / ACTIVE
         try:
+            mark.parent.mkdir(parents=True, exist_ok=True)
+            mark.touch()
             spark.addTag(job.id)
             result = self.engine.execute(job.query)
             payload = serialize(result)
@@ -97,6 +105,9 @@ class JobService:
             state, job.error = "failed", str(e)
         finally:
             spark.removeTag(job.id)
+            mark.unlink(missing_ok=True)
+            with contextlib.suppress(OSError):  # it holds results
+                mark.parent.rmdir()
         with self._lock:
             job.state = "cancelled" if job.state == "cancelled" else state
             job.finished = time.time()

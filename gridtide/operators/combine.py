@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import bin_label
+from ..functions.geo import Lambert
 
 #: Samples of a full day.
 DAILY_SAMPLES = {"1H": 24, "3H": 8, "1D": 1}
@@ -92,6 +93,23 @@ def bilinear_weights(source_lat: DataFrame, source_lon: DataFrame, target_cells:
     return placed.select("dst_gy", "dst_gx", "src_gy", "src_gx", (F.col("w_src_gy") * F.col("w_src_gx")).alias("w"))
 
 
+def projected_weights(projection: Lambert, x_axis: tuple[float, float, int], y_axis: tuple[float, float, int], target_cells: DataFrame) -> DataFrame:
+    """``dst_gy, dst_gx, src_gy, src_gx, w`` from a regular projected grid onto cells (``gy, gx, lat, lon``), bilinear in the plane.
+
+    An axis is its first place, its step (which may be negative) and its number of places. The cell of the source grid that
+    holds a target follows by arithmetic, so there is no join; targets outside the grid get no row.
+    """
+    x, y = projection.forward("lat", "lon")
+    at = lambda place, axis: (place - F.lit(float(axis[0]))) / F.lit(float(axis[1]))
+    cells = target_cells.select(F.col("gy").alias("dst_gy"), F.col("gx").alias("dst_gx"), at(x, x_axis).alias("fx"), at(y, y_axis).alias("fy"))
+    cells = cells.filter(F.col("fx").between(0, x_axis[2] - 1) & F.col("fy").between(0, y_axis[2] - 1))
+    ends = lambda f: F.array(
+        F.struct(F.floor(f).cast("int").alias("i"), (1 - (F.col(f) - F.floor(f))).alias("w")), F.struct((F.floor(f) + 1).cast("int").alias("i"), (F.col(f) - F.floor(f)).alias("w"))
+    )
+    rows = cells.withColumn("ey", F.explode(ends("fy"))).withColumn("ex", F.explode(ends("fx"))).withColumn("w", F.col("ey.w") * F.col("ex.w"))
+    return rows.filter("w > 0").select("dst_gy", "dst_gx", F.col("ey.i").alias("src_gy"), F.col("ex.i").alias("src_gx"), "w")
+
+
 def apply_weights(values: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
     """Regrid: weighted mean of each target cell's valid contributors; NULL without one."""
     v, w = F.col("value"), F.col("w")

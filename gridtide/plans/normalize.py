@@ -1,89 +1,123 @@
-"""From a loose query dictionary to a checked ``Query``."""
+"""From a loose query dictionary to a checked ``Query``.
+
+A query's parts are read one by one, each by a rule of its own; what a rule rejects is a ``ValueError``.
+"""
 
 from __future__ import annotations
 
-import calendar
 import math
-import re
-from datetime import datetime
+from collections.abc import Callable, Iterable
+from datetime import datetime, timedelta
 from typing import Any
 
 from ..config import Settings
 from ..functions.calendar import TIME_UNITS
-from ..model import AGGREGATIONS, FUNCTIONS, PREDICATES, Query, Region
+from ..model import AGGREGATIONS, FUNCTIONS, PREDICATES, Operation, Product, Query, Region, Selection, Test
+
+#: How times may be written, finest first, and how long each lasts (a month: until the next one begins).
+TIME_FORMS = (("%Y-%m-%dT%H", timedelta(hours=1)), ("%Y-%m-%d %H", timedelta(hours=1)), ("%Y-%m-%d", timedelta(days=1)), ("%Y-%m", None))
+
+
+class Reader:
+    """Fields of a raw query; one that is absent or null has to be asked for with a default."""
+
+    def __init__(self, raw: dict[str, Any]) -> None:
+        self.raw = raw
+
+    def __call__(self, name: str, rule: Callable[[Any], Any], *default: Any) -> Any:
+        value = self.raw.get(name)
+        if value is None:
+            if default:
+                return default[0]
+            raise ValueError(f"the query has no {name}")
+        try:
+            return rule(value)
+        except (KeyError, TypeError, ValueError) as e:
+            raise ValueError(f"{name}: {value!r} can't be used ({e})") from e
+
+
+def one_of(allowed: Iterable[str], spell: Callable[[str], str] = str) -> Callable[[Any], str]:
+    names = set(allowed)
+
+    def rule(value: Any) -> str:
+        if not isinstance(value, str):
+            raise TypeError("not a name")
+        if (found := spell(value)) not in names:
+            raise ValueError(f"known are {', '.join(sorted(names))}")
+        return found
+
+    return rule
+
+
+def whole_number(value: Any) -> int:
+    if isinstance(value, bool) or int(value) != float(value):
+        raise ValueError("not a whole number")
+    return int(value)
+
 
-REQUIRED = ("variable", "time_start", "time_end", "time_unit", "coarseness_factor", "region", "function", "aggregation")
-_TIME = re.compile(r"(\d{4})-(\d{2})(?:-(\d{2})(?:[T ](\d{2}))?)?")
+def finite_number(value: Any) -> float:
+    if isinstance(value, bool) or not math.isfinite(number := float(value)):
+        raise ValueError("not a finite number")
+    return number
 
 
 def normalize_time(text: Any, end: bool = False) -> datetime:
-    """A month, day or hour; as an end it means the last day and hour within."""
-    found = _TIME.fullmatch(text.strip()) if isinstance(text, str) else None
-    if not found:
-        raise ValueError(f"time {text!r} must be YYYY-MM, YYYY-MM-DD, or YYYY-MM-DDTHH")
-    year, month, day, hour = (None if x is None else int(x) for x in found.groups())
-    if day is None:
-        day = calendar.monthrange(year, month)[1] if end and 1 <= month <= 12 else 1
-    return datetime(year, month, day, hour if hour is not None else 23 if end else 0)
+    """The beginning of a month, day or hour; as an end, the last hour within."""
+    for form, lasts in TIME_FORMS if isinstance(text, str) else ():
+        try:
+            start = datetime.strptime(text.strip(), form)
+        except ValueError:
+            continue
+        if start.strftime(form) != text.strip():  # every part in full, with its zeros
+            continue
+        if not end:
+            return start
+        stop = start + lasts if lasts else (start.replace(day=28) + timedelta(days=4)).replace(day=1)
+        return stop - timedelta(hours=1)
+    raise ValueError(f"{text!r} is no month, day or hour")
 
 
-def _choice(value: Any, allowed, what: str) -> str:
-    if not isinstance(value, str) or value not in allowed:
-        raise ValueError(f"Unsupported {what}: {value!r}")
-    return value
+def region_of(box: Any) -> Region:
+    return Region.of(**{side: finite_number(box[side]) for side in ("west", "east", "south", "north")})
 
 
-def normalize_query(raw: dict[str, Any], settings: Settings) -> Query:
-    """Check every field of ``raw``; all faults are ``ValueError``."""
-    absent = sorted(k for k in REQUIRED if raw.get(k) is None)
-    if absent:
-        raise ValueError(f"Missing required query fields: {', '.join(absent)}")
-    repository, dataset = raw.get("repository"), raw.get("dataset")
-    if repository is not None:
-        _choice(repository, settings.names()["repositories"], "repository")
-    if dataset is not None:
-        _choice(dataset, settings.names(repository)["datasets"], "dataset")
+def selection_of(read: Reader, settings: Settings) -> Selection:
+    """Names have to be known where they stand: a dataset in its repository, a variable in what is left."""
+    repository = read("repository", one_of(settings.names()["repositories"]), None)
+    dataset = read("dataset", one_of(settings.names(repository)["datasets"]), None)
     known = settings.names(repository, dataset)
-    variable = _choice(raw["variable"], known["variables"], "variable")
-    factor = raw["coarseness_factor"]
-    if isinstance(factor, bool) or (isinstance(factor, float) and not factor.is_integer()):
-        raise ValueError(f"Unsupported coarseness factor: {factor!r}")
-    try:
-        factor = int(factor)
-    except (TypeError, ValueError):
-        raise ValueError(f"Unsupported coarseness factor: {factor!r}") from None
-    if factor not in settings.coarseness_factors:
-        raise ValueError(f"Unsupported coarseness factor: {factor!r}")
-    unit = _choice(str(raw["time_unit"]).title(), TIME_UNITS, "time unit")
-    function = _choice(str(raw["function"]).lower().replace("_", "-"), FUNCTIONS, "function")
-    aggregation = _choice(str(raw["aggregation"]).lower(), AGGREGATIONS, "aggregation")
-    start, end = normalize_time(raw["time_start"]), normalize_time(raw["time_end"], end=True)
-    if start > end:
-        raise ValueError("time_start must not be after time_end")
-    given = raw.get("additional_parameters") or {}
-    if given:
-        if dataset is None:
-            raise ValueError("additional parameters need a dataset")
-        allowed = known["parameters"][0]
+    (values,) = known["parameters"]
+
+    def parameters(given: dict[str, str]) -> tuple[tuple[str, str], ...]:
+        if given and dataset is None:
+            raise ValueError("they belong to a dataset, and none is named")
         for name, value in given.items():
-            if name not in allowed or value not in allowed[name]:
-                raise ValueError(f"Unsupported additional parameter: {name}={value!r}")
-    predicate, value = raw.get("predicate"), raw.get("filter_value")
+            if value not in values.get(name, ()):
+                raise ValueError(f"the dataset has no {name} {value!r}")
+        return tuple(sorted(given.items()))
+
+    return Selection(read("variable", one_of(known["variables"])), repository, dataset, read("additional_parameters", parameters, ()))
+
+
+def operation_of(read: Reader) -> Operation:
+    """A test goes with the two ``find`` functions, and with no other."""
+    function = read("function", one_of(FUNCTIONS, lambda x: x.lower().replace("_", "-")))
+    aggregation = read("aggregation", one_of(AGGREGATIONS, str.lower))
     if function.startswith("find-"):
-        if predicate not in PREDICATES or value is None:
-            raise ValueError(f"{function} queries require a supported predicate and a filter_value")
-        predicate = PREDICATES[predicate]
-        try:
-            value = float(value) if not isinstance(value, bool) else math.nan
-        except (TypeError, ValueError):
-            value = math.nan
-        if not math.isfinite(value):
-            raise ValueError("filter_value must be a finite number")
-    elif predicate is not None or value is not None:
-        raise ValueError("predicate and filter_value are only used by find-time and find-area")
-    box = raw["region"]
-    try:
-        region = Region.of(*(float(box[k]) for k in ("west", "east", "south", "north")))
-    except (KeyError, TypeError) as e:
-        raise ValueError("region must have west, east, south and north") from e
-    return Query(variable, start, end, unit, factor, region, function, aggregation, repository, dataset, dict(given), predicate, value)
+        return Operation(function, aggregation, Test(read("predicate", PREDICATES.__getitem__), read("filter_value", finite_number)))
+    if any(read(name, lambda x: x, None) is not None for name in ("predicate", "filter_value")):
+        raise ValueError(f"{function} looks for nothing, so it takes neither predicate nor filter_value")
+    return Operation(function, aggregation)
+
+
+def normalize_query(raw: dict[str, Any], settings: Settings) -> Query:
+    """Check every field of ``raw``; all faults are ``ValueError``."""
+    read = Reader(raw)
+    factor = read("coarseness_factor", whole_number)
+    if factor not in settings.coarseness_factors:
+        raise ValueError(f"there are no products of coarseness_factor {factor}")
+    when = read("time_start", normalize_time), read("time_end", lambda x: normalize_time(x, end=True))
+    if when[0] > when[1]:
+        raise ValueError("the query ends before it starts")
+    product = Product(read("time_unit", one_of(TIME_UNITS, str.title)), factor)
+    return Query(selection_of(read, settings), when, read("region", region_of), product, operation_of(read))

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Settings
 from .functions import calendar, geo
-from .model import Region
+from .ingest import Source, ingest
+from .model import Operation, Product, Query, Region, Selection
 from .operators import combine, spatial, stats, temporal
 from .plans import metadata
+from .plans.engine import Engine
 from .sources import driver_tables as src
+from .sources.store import ProductStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: The same products of a window of the samples, to compare with; they are not registered.
+WINDOWED = frozenset({"coarsen2_mean", "coarsen2_min", "coarsen2_max", "coarsen2_sum", "coarsen2_first", "regrid_bilinear_apply"})
 #: The query window that most queries use, and a box across the seam.
 START, END = datetime(1995, 1, 1), datetime(1996, 12, 31)
 BOX, SEAM, GLOBE = Region(30.0, 200.0, -60.0, 60.0), Region(250.0, 60.0, -45.0, 70.0), Region(180.0, 180.0, -90.0, 90.0)
@@ -111,19 +120,19 @@ for _name, _op, _sql, _value in (("gt", "gt", ">", 25.0), ("ne", "ne", "<>", 25.
         return stats.find(stats.heatmap(windowed(spark, d), "max", "dataset", region=GLOBE).select("dataset", "gy", "gx", r6("value")), op, value)
 
 
-@query("region_seam_timeseries", f"WITH {SAMPLES} SELECT dataset, ts, round({VALUE['mean']}, 6) AS value FROM samples WHERE {WINDOW} AND {IN_SEAM} GROUP BY 1, 2")
+@query("region_seam_timeseries_whole", f"WITH {SAMPLES} SELECT dataset, ts, round({VALUE['mean']}, 6) AS value FROM samples WHERE {IN_SEAM} GROUP BY 1, 2")
 def _seam(spark, d):
-    return stats.timeseries(windowed(spark, d), "mean", "dataset", region=SEAM).select("dataset", "ts", r6("value"))
+    return stats.timeseries(stats.expand(samples(spark, d)), "mean", "dataset", region=SEAM).select("dataset", "ts", r6("value"))
 
 
-@query("region_full_globe", f"WITH {SAMPLES} SELECT dataset, ts, round({VALUE['mean']}, 6) AS value FROM samples WHERE {WINDOW} GROUP BY 1, 2")
+@query("region_full_globe_whole", f"WITH {SAMPLES} SELECT dataset, ts, round({VALUE['mean']}, 6) AS value FROM samples GROUP BY 1, 2")
 def _globe(spark, d):
-    return stats.timeseries(windowed(spark, d), "mean", "dataset", region=GLOBE).select("dataset", "ts", r6("value"))
+    return stats.timeseries(stats.expand(samples(spark, d)), "mean", "dataset", region=GLOBE).select("dataset", "ts", r6("value"))
 
 
-@query("expand_statistics_fallback", f"WITH {SAMPLES} SELECT dataset, ts, gy, gx, round(value * greatest(cos(radians(lat)), 0), 6) AS weighted_sum, round(greatest(cos(radians(lat)), 0), 6) AS weight_sum, round(value, 6) AS min_v, round(value, 6) AS max_v FROM samples WHERE {WINDOW}")
+@query("expand_statistics_fallback_whole", f"WITH {SAMPLES} SELECT dataset, ts, gy, gx, round(value * greatest(cos(radians(lat)), 0), 6) AS weighted_sum, round(greatest(cos(radians(lat)), 0), 6) AS weight_sum, round(value, 6) AS min_v, round(value, 6) AS max_v FROM samples")
 def _expand(spark, d):
-    found = stats.expand(in_window(samples(spark, d)), area=None)
+    found = stats.expand(samples(spark, d), area=None)
     return found.select("dataset", "ts", "gy", "gx", *(r6(c) for c in stats.STATISTICS))
 
 
@@ -237,6 +246,7 @@ def _misses(spark, d):
 # --- space --------------------------------------------------------------------------------------------------------
 
 _AGG = {"mean": "avg", "min": "min", "max": "max", "sum": "sum"}
+
 for _how, _sql in _AGG.items():
 
     @query(f"coarsen2_{_how}", f"WITH {DAILY} SELECT dataset, ts, gy // 2 AS gy, gx // 2 AS gx, round({_sql}(value), 6) AS value FROM daily WHERE {WINDOW} GROUP BY ALL")
@@ -327,9 +337,9 @@ def _windows(spark, d):
     return found.select("code", "y_start", "y_stop", "x_start", "x_stop")
 
 
-@query("populated_extent", f"WITH {SAMPLES} SELECT dataset, min(gy) AS y_start, max(gy) + 1 AS y_stop, min(gx) AS x_start, max(gx) + 1 AS x_stop FROM samples WHERE {WINDOW} AND {IN_BOX} GROUP BY 1")
+@query("populated_extent_whole", f"WITH {SAMPLES} SELECT dataset, min(gy) AS y_start, max(gy) + 1 AS y_stop, min(gx) AS x_start, max(gx) + 1 AS x_stop FROM samples WHERE {IN_BOX} GROUP BY 1")
 def _extent(spark, d):
-    return spatial.extent(windowed(spark, d).filter((F.col("weight_sum") > 0) & stats.region_mask(BOX)), "dataset")
+    return spatial.extent(stats.expand(samples(spark, d)).filter((F.col("weight_sum") > 0) & stats.region_mask(BOX)), "dataset")
 
 
 @query("normalize_longitude", f"WITH {GRID} SELECT gy, gx, round((((lon - 200) % 360) + 360) % 360, 6) AS lon FROM grid")
@@ -425,6 +435,34 @@ def _regrid_whole(spark, d):
     return found.select("dataset", "ts", "gy", "gx", r6("value"))
 
 
+_NY = "(SELECT ceil(count(*) / 10e0) AS ny FROM supplier)"
+#: A projected source grid: the cube's columns and rows as places along x and y, in metres.
+_X0, _DX, _Y0, _Y_SPAN = -3e6, 6e5, -4e6, 6e6
+_PROJECTED = f"""WITH {DAILY}, {GRID},
+    t AS (SELECT gy AS dst_gy, gx AS dst_gx, ny, ({_RHO_SQL} * sin({_THETA_SQL}) - ({_X0!r})) / {_DX!r} AS fx, ({_RHO!r}e0 - {_RHO_SQL} * cos({_THETA_SQL}) - ({_Y0!r})) / ({_Y_SPAN!r} / ny) AS fy
+          FROM grid, {_NY} n WHERE lat > 0),
+    f AS (SELECT * FROM t WHERE fx BETWEEN 0 AND 9 AND fy BETWEEN 0 AND ny - 1),
+    ey AS (SELECT *, CAST(floor(fy) AS INT) AS src_gy, 1 - (fy - floor(fy)) AS wy FROM f UNION ALL SELECT *, CAST(floor(fy) + 1 AS INT), fy - floor(fy) FROM f),
+    e AS (SELECT *, CAST(floor(fx) AS INT) AS src_gx, wy * (1 - (fx - floor(fx))) AS w FROM ey UNION ALL SELECT *, CAST(floor(fx) + 1 AS INT), wy * (fx - floor(fx)) FROM ey),
+    weights AS (SELECT dst_gy, dst_gx, src_gy, src_gx, w FROM e WHERE w > 0)"""
+
+
+def projected_weights(spark: SparkSession, d: str) -> DataFrame:
+    ny = math.ceil(src.table(spark, d, "supplier").count() / 10)
+    return combine.projected_weights(_LAMBERT, (_X0, _DX, 10), (_Y0, _Y_SPAN / ny, ny), src.grid_daily(spark, d).filter("lat > 0"))
+
+
+@query("regrid_projected_weights", f"{_PROJECTED} SELECT dst_gy, dst_gx, src_gy, src_gx, round(w, 6) AS w FROM weights")
+def _projected_weights(spark, d):
+    return projected_weights(spark, d).select("dst_gy", "dst_gx", "src_gy", "src_gx", r6("w"))
+
+
+@query("regrid_projected_apply", f"{_PROJECTED} SELECT dataset, ts, dst_gy AS gy, dst_gx AS gx, round(sum(value * w) / sum(w), 6) AS value FROM daily JOIN weights ON gy = src_gy AND gx = src_gx GROUP BY ALL")
+def _projected_apply(spark, d):
+    found = combine.apply_weights(src.daily(spark, d), projected_weights(spark, d), "dataset", "ts")
+    return found.select("dataset", "ts", "gy", "gx", r6("value"))
+
+
 def _pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cube = src.daily(spark, d)
     return tuple(cube.filter(F.col("dataset") == name).drop("dataset") for name in ("src_a", "src_r"))
@@ -486,9 +524,9 @@ def _products(spark, d):
     return src.daily(spark, d).select("dataset").distinct().select("dataset", F.explode(made).alias("p")).select("dataset", "p.*")
 
 
-@query("shared_value_range", f"WITH {DAILY} SELECT 'K' AS units, coalesce(round(min(value), 6), 0) AS low, coalesce(round(max(value), 6), 1) AS high FROM daily WHERE {WINDOW}")
+@query("shared_value_range_whole", f"WITH {DAILY} SELECT 'K' AS units, coalesce(round(min(value), 6), 0) AS low, coalesce(round(max(value), 6), 1) AS high FROM daily")
 def _range(spark, d):
-    found = metadata.value_range(in_window(src.daily(spark, d)).withColumn("units", F.lit("K")), "units")
+    found = metadata.value_range(src.daily(spark, d).withColumn("units", F.lit("K")), "units")
     return found.select("units", r6("low"), r6("high"))
 
 
@@ -503,6 +541,69 @@ def _cost(spark, d):
     return metadata.cost(found, "dataset")
 
 
-@query("result_metrics", f"WITH {SAMPLES} SELECT dataset, count(DISTINCT ts) AS n_timestamps, count(DISTINCT (gy, gx)) AS n_cells, count(value) AS n_values FROM samples WHERE {WINDOW} AND {IN_BOX} GROUP BY 1")
+@query("result_metrics_whole", f"WITH {SAMPLES} SELECT dataset, count(DISTINCT ts) AS n_timestamps, count(DISTINCT (gy, gx)) AS n_cells, count(value) AS n_values FROM samples WHERE {IN_BOX} GROUP BY 1")
 def _metrics(spark, d):
-    return metadata.result_metrics(windowed(spark, d).filter(stats.region_mask(BOX)), "dataset")
+    return metadata.result_metrics(stats.expand(samples(spark, d)).filter(stats.region_mask(BOX)), "dataset")
+
+
+# --- the store ----------------------------------------------------------------------------------------------------
+
+#: All times of the cube, and a box whose edges cut blocks of two cells.
+EVER, CUT_BOX = (datetime(1995, 1, 1), datetime(2001, 12, 31, 23)), Region(50.0, 200.0, -40.0, 70.0)
+
+
+def _engine(spark: SparkSession) -> Engine:
+    """An engine on a new, empty store in the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='gridtide-store-')}"
+    return Engine(ProductStore(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"), Settings())
+
+
+def _source(spark: SparkSession, d: str, dataset: str = "src_a") -> Source:
+    data = src.daily(spark, d).filter(F.col("dataset") == dataset).drop("dataset")
+    return Source("lab", dataset, "quantity", "1", data, src.grid_daily(spark, d), native="1D")
+
+
+def ask(engine: Engine, unit: str, factor: int, region: Region, function: str, how: str = "mean") -> DataFrame:
+    return engine.execute(Query(Selection("quantity"), EVER, region, Product(unit, factor), Operation(function, how))).data
+
+
+@query("store_overlapping_writes", f"WITH {SAMPLES} SELECT ts, round({VALUE['mean']}, 6) AS value FROM samples WHERE dataset = 'src_a' AND {IN_BOX} GROUP BY 1")
+def _overlapping(spark, d):
+    """Half of June 1998 is written twice, as it arrives in two deliveries; the other months are told to be there already."""
+    engine, source = _engine(spark), _source(spark, d)
+    store = engine.store
+    grid, variant = store.ensure_grid(source.grid, "rectilinear"), store.upsert_dataset(source.repository, source.dataset, {"quantity": {"units": "1"}})
+    until = F.lit(datetime(1998, 6, 15)).cast("timestamp_ntz")
+    for data in (source.data.filter(F.col("ts") <= until), source.data):
+        store.write_product(data, variant, "quantity", grid, "Source", 1, "1D")
+    return ask(engine, "Source", 1, BOX, "timeseries").select("ts", r6("value"))
+
+
+_COARSE = f"""{_MONTHS}, c AS (SELECT gy // 2 AS gy, gx // 2 AS gx, sum(ws) AS ws, sum(w) AS w FROM products WHERE dataset = 'src_a' GROUP BY ALL),
+    g AS (SELECT gy // 2 AS gy, gx // 2 AS gx, avg(lat) AS lat, (degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) + 360) % 360 AS lon FROM grid GROUP BY ALL)"""
+
+
+@query("store_month_coarse_heatmap", f"{_COARSE} SELECT gy * 2 AS gy, gx * 2 AS gx, round(lat, 6) AS lat, round(lon, 6) AS lon, round(ws / w, 6) AS value FROM c JOIN g USING (gy, gx) WHERE lat BETWEEN -40 AND 70 AND lon BETWEEN 50 AND 200")
+def _stored_heatmap(spark, d):
+    engine, source = _engine(spark), _source(spark, d)
+    ingest(engine.store, source, engine.settings)
+    found = ask(engine, "Month", 2, CUT_BOX, "heatmap")
+    if found is None:  # no month is complete
+        return spark.createDataFrame([], "gy int, gx int, lat double, lon double, value double")
+    return found.select("gy", "gx", r6("lat"), r6("lon"), r6("value"))
+
+
+_YEARS = f"""WITH {SAMPLES}, whole AS ({_complete('year')}),
+    p AS (SELECT dataset, CAST(date_trunc('year', ts) AS TIMESTAMP) AS ts, max(value) AS value FROM samples WHERE lat BETWEEN -40 AND 70 AND lon BETWEEN 50 AND 200 GROUP BY ALL)"""
+
+
+@query("store_year_timeseries", f"{_YEARS} SELECT ts, round(value, 6) AS value FROM p SEMI JOIN whole USING (dataset, ts) WHERE dataset = 'src_a'")
+def _stored_years(spark, d):
+    engine, source = _engine(spark), _source(spark, d)
+    ingest(engine.store, source, engine.settings)
+    found = ask(engine, "Year", 1, CUT_BOX, "timeseries", "max")
+    return found.select("ts", r6("value")) if found is not None else spark.createDataFrame([], "ts timestamp_ntz, value double")

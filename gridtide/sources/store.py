@@ -1,7 +1,7 @@
 """The product store: Parquet products with their catalogs.
 
-A write goes to a folder of its own, Hive-partitioned by product and storage
-period; its index rows are added last. Only indexed folders are read, so a
+A write goes to a folder of its own, a partition of the store, which is Hive-partitioned by product and storage
+period below; its index rows are added last. Only indexed folders are read, so a
 failed write leaves nothing visible, and a repeated one adds nothing.
 Catalogs hold a row per dataset, grid, bucket window or partition, and are
 read and planned with on the driver.
@@ -21,6 +21,7 @@ from ..functions import identity
 from ..functions.geo import BucketGrid
 from ..operators.spatial import extent
 from ..operators.stats import STATISTICS
+from ..operators.temporal import drop_repeated_timestamps
 
 PRODUCT_KEYS = ("dataset_variant_id", "variable", "time_unit", "coarseness_factor", "period")
 SCHEMAS = {
@@ -32,6 +33,19 @@ SCHEMAS = {
 }
 
 
+def _doubled(entries: list[Row]) -> set[str]:
+    """Ids of index entries that share times and cells with another one of their product; entries are in order of time."""
+    found, open_ = set(), {}
+    for r in entries:
+        own = open_.setdefault((r["dataset_variant_id"], r["variable"], r["grid_id"], r["time_unit"], r["coarseness_factor"]), [])
+        own[:] = [x for x in own if x["time_end"] >= r["time_start"]]
+        for x in own:
+            if x["y_start"] < r["y_stop"] and r["y_start"] < x["y_stop"] and x["x_start"] < r["x_stop"] and r["x_start"] < x["x_stop"]:
+                found |= {x["partition_id"], r["partition_id"]}
+        own.append(r)
+    return found
+
+
 @dataclass
 class ProductStore:
     """A store below ``root``, any folder that Spark reads and writes."""
@@ -161,7 +175,7 @@ class ProductStore:
         new = {p: x for p, x in ids.items() if x[0] not in there}
         if not new:
             return 0
-        path = f"products/{uuid.uuid4().hex}"
+        path = f"products/write={uuid.uuid4().hex}"
         keyed = data.filter(F.col("period").isin(list(new))).withColumns({"dataset_variant_id": F.lit(variant), "variable": F.lit(variable), "time_unit": F.lit(time_unit), "coarseness_factor": F.lit(factor)})
         # files of a period are dealt by range of time and place, and sorted, so that row groups can be skipped
         keyed.repartitionByRange("period", "ts", "gy", "gx").sortWithinPartitions("period", "ts", "gy", "gx").write.partitionBy(*PRODUCT_KEYS).parquet(f"{self.root}/{path}")
@@ -169,21 +183,35 @@ class ProductStore:
         return self._append("product_index", rows, "partition_id")
 
     def read_products(self, matched: list[Row], start: datetime, end: datetime) -> DataFrame:
-        """All rows of matched index entries as one DataFrame, with their product keys; pruned by partition, time and column."""
-        paths = sorted({f"{self.root}/{r['relative_path']}" for r in matched})
-        frames = []
-        for path in paths:  # a folder per write, one scan each
-            own = [r for r in matched if f"{self.root}/{r['relative_path']}" == path]
-            frame = self.spark.read.option("basePath", path).parquet(path)
-            for key in PRODUCT_KEYS:
-                frame = frame.filter(F.col(key).isin(sorted({r[key] for r in own})))
-            grids = sorted({(r["dataset_variant_id"], r["grid_id"]) for r in own})
-            grid = F.create_map(*(F.lit(x) for pair in grids for x in pair))[F.col("dataset_variant_id")]
-            frames.append(frame.withColumns({"grid_id": grid, "period": F.col("period").cast("string")}))
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame, allowMissingColumns=True)
-        return out.filter(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+        """All rows of matched index entries as one DataFrame, with their product keys; pruned by partition, time and column.
+
+        All folders are one scan. Where entries of a product overlap in time and place, as when a
+        period is written again with more days, the first of them (by range, then id) has a cell and time.
+        """
+        unit = matched[0]["time_unit"]
+        values = "value double" if unit == "Source" else ", ".join([*(f"{c} double" for c in STATISTICS), "source_count smallint"])
+        schema = f"ts timestamp_ntz, gy int, gx int, {values}, dataset_variant_id string, variable string, time_unit string, coarseness_factor int, period string, write string"
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/products").parquet(*sorted({f"{self.root}/{r['relative_path']}" for r in matched}))
+        for key in PRODUCT_KEYS:
+            rows = rows.filter(F.col(key).isin(sorted({r[key] for r in matched})))
+        rows = rows.filter(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+        order = ("time_start", "time_end", "partition_id")
+        ranked = sorted(matched, key=lambda r: tuple(r[c] for c in order))
+        doubled = _doubled(ranked)
+        entry = [(r["relative_path"].split("=")[-1], *(r[c] for c in ("dataset_variant_id", "period", "grid_id")), k, r["partition_id"] in doubled) for k, r in enumerate(ranked)]
+        entries = self.spark.createDataFrame(entry, "write string, dataset_variant_id string, period string, grid_id string, place int, doubled boolean")
+        keys = ["write", "dataset_variant_id", "period"]
+        rows = rows.join(entries, keys).drop("write")
+        if not doubled:
+            return rows.drop("place", "doubled")
+        once = drop_repeated_timestamps(rows.filter("doubled"), "dataset_variant_id", "variable", "grid_id", "ts", "gy", "gx", order="place")
+        return rows.filter("NOT doubled").unionByName(once).drop("place", "doubled")
+
+    def stored(self, variant: str, variable: str, grid: str, time_unit: str, factor: int) -> DataFrame | None:
+        """All rows of one product; None where there are none."""
+        index = self.catalog("product_index").filter((F.col("dataset_variant_id") == variant) & (F.col("variable") == variable) & (F.col("grid_id") == grid))
+        found = index.filter((F.col("time_unit") == time_unit) & (F.col("coarseness_factor") == factor)).collect()
+        return self.read_products(found, min(r["time_start"] for r in found), max(r["time_end"] for r in found)) if found else None
 
     def compact(self, path: str) -> None:
         """Rewrite one write's folder with the current layout: to a new folder, checked, then swapped in."""

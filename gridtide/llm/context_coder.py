@@ -33,7 +33,7 @@ import numpy as np
 
 MAGIC = b"GTCM0002"
 #: Ids of a block, blocks that are coded in lockstep, and blocks that are modelled together when encoding.
-BLOCK_IDS, LANES, MODELLED = 4096, 1024, 64
+BLOCK_IDS, LANES, MODELLED = 4096, 2048, 64
 #: Ids are at most so large: 18 bits stand for one in the tables of contexts.
 MOST_ID = 262143
 _TOP, _LOW_HALF, _T = 2.0**48, 2.0**32, 65536.0

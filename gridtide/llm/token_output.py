@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import context_coder, pieces, runtime
 
-#: Ids that a shard holds before it is closed at the end of a document.
-SHARD_IDS = 4_000_000
+#: Ids of a shard, which ends with a document. A task's last shard has up to twice as many: small ones are slow, as
+#: all blocks of a shard are coded in lockstep.
+SHARD_IDS = 2_500_000
 
 
 def write_token_shards(docs: DataFrame, tokenizer: str, end: int, path: str | None = None, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,14 +42,16 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end: int, path: str | No
         own, part = pieces.encoder(tokenizer), TaskContext.get().partitionId()
         ids, lens, names, held, seq, before = [], [], [], 0, 0, 0
 
-        def shard() -> pa.RecordBatch:
-            lengths = np.concatenate(lens)
+        def shard(parts: int) -> pa.RecordBatch:
+            """The first ``parts`` batches of texts."""
+            own, lengths, named = ids[:parts], np.concatenate(lens[:parts]), pa.concat_arrays(names[:parts])
             row = [
-                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(names)),
+                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([int(lengths.sum())], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), named),
                 pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.array(lengths)),
-                pa.array([context_coder.encode(np.concatenate(ids))], pa.binary()),
+                pa.array([context_coder.encode(np.concatenate(own))], pa.binary()),
             ]
+            del ids[:parts], lens[:parts], names[:parts]
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "before", "n_ids", "ids", "lengths", "data"])
 
         for batch in batches:
@@ -57,12 +60,13 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end: int, path: str | No
                 lens.append(lengths)
                 names.append(batch.column(0)[a:b])
                 held += len(more)
-                if held >= shard_ids:
-                    yield shard()
-                    seq, before = seq + 1, before + held
-                    ids, lens, names, held = [], [], [], 0
+                if held >= 2 * shard_ids:
+                    sizes = np.cumsum([len(x) for x in ids])
+                    first = int(np.searchsorted(sizes, shard_ids)) + 1
+                    yield shard(first)
+                    seq, before, held = seq + 1, before + int(sizes[first - 1]), held - int(sizes[first - 1])
         if held:
-            yield shard()
+            yield shard(len(ids))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("mark"))
     kind = rows.schema[0].dataType.simpleString()

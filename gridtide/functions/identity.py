@@ -24,3 +24,9 @@ def partition_id(variant: str, variable: str, grid: str, time_unit: str, factor:
 def grid_id(grid_type: str, latitudes: list[float], longitudes: list[float], crs: dict[str, Any] | None = None, digits: int = 9) -> str:
     """Id of a grid's geometry: names and other labels don't count, projection attributes do."""
     return stable_id({"type": grid_type, "lat": [round(x, digits) for x in latitudes], "lon": [round(x, digits) for x in longitudes], "crs": crs or {}})
+
+
+def source_key(record: dict[str, Any]) -> tuple[str, str, str, str]:
+    """What tells one source of a blend from another: repository, dataset, variable and its parameters as sorted, compact JSON."""
+    parameters = record.get("additional_parameters") or record.get("additional_params") or {}
+    return record["repository"], record["dataset"], record["variable"], json.dumps(parameters, sort_keys=True, separators=(",", ":"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import circular_mean
+from ..functions.geo import circular_mean, display_longitude
 from .stats import STATISTICS, reducer
 
 BLOCK = ("gy", "gx")
@@ -69,6 +69,36 @@ def axis_bounds(axis: DataFrame, centre: str, *keys: str) -> DataFrame:
     return axis.withColumns({f"{centre}_lo": c - low, f"{centre}_hi": c + high})
 
 
+def axis_edges(axis: DataFrame, centre: str, declared: tuple[str, str] | None = None) -> DataFrame:
+    """The edges of an axis in order, ``position, edge``: each cell's lower bound and the last one's upper.
+
+    Bounds that the source declares come before midpoints. The axis has one row per distinct centre.
+    """
+    low, high = declared or (f"{centre}_lo", f"{centre}_hi")
+    cells = axis.select(centre, low, high).distinct() if declared else axis_bounds(axis.select(centre).distinct(), centre)
+    order = Window.orderBy(centre)
+    last = F.lead(centre).over(order).isNull()
+    edges = F.when(last, F.array(low, high)).otherwise(F.array(low))
+    placed = cells.select((F.row_number().over(order) - 1).alias("start"), edges.alias("edges"))
+    return placed.select("start", F.posexplode("edges").alias("k", "edge")).select((F.col("start") + F.col("k")).alias("position"), "edge")
+
+
+def clean_axes(cells: DataFrame, *values: str) -> DataFrame:
+    """Cells of a rectilinear grid with sorted longitudes from -180 to 180 and without repeated axis values.
+
+    Longitudes are wrapped where any is above 180. Of columns or rows with the
+    same coordinate the first by index stays; ``gx`` is numbered anew, ``gy`` keeps its order.
+    """
+    wide = cells.agg((F.max("lon") > 180).alias("wide"))  # one row
+    wrapped = cells.crossJoin(F.broadcast(wide)).withColumn("lon", F.when(F.col("wide"), display_longitude("lon")).otherwise(F.col("lon"))).drop("wide")
+    lons = wrapped.groupBy("lon").agg(F.min("gx").alias("gx"))
+    lats = wrapped.groupBy("lat").agg(F.min("gy").alias("gy"))
+    lons = lons.withColumn("new_gx", F.row_number().over(Window.orderBy("lon")) - 1)  # one row per axis value
+    lats = lats.withColumn("new_gy", F.row_number().over(Window.orderBy("gy")) - 1)
+    kept = wrapped.join(lons, ["lon", "gx"]).join(lats, ["lat", "gy"])
+    return kept.select(F.col("new_gy").alias("gy"), F.col("new_gx").alias("gx"), "lat", "lon", *values)
+
+
 def sorted_axis_index(points: DataFrame, centre: str, name: str, descending: bool = False) -> DataFrame:
     """Position of each distinct centre on its sorted axis, from 0. The axis has one row per distinct centre."""
     axis = points.select(centre).distinct()
@@ -96,4 +126,4 @@ def is_periodic(cells: DataFrame) -> DataFrame:
     return cells.agg((F.max("lon_hi") - F.min("lon_lo") >= 359).alias("periodic"))
 
 
-__all__ = ["STATISTICS", "auxiliary_method", "axis_bounds", "coarsen", "coarsen_grid", "extent", "intersect_windows", "is_periodic", "native_index", "sorted_axis_index", "spatial_product"]
+__all__ = ["STATISTICS", "auxiliary_method", "axis_bounds", "axis_edges", "clean_axes", "coarsen", "coarsen_grid", "extent", "intersect_windows", "is_periodic", "native_index", "sorted_axis_index", "spatial_product"]

@@ -226,7 +226,7 @@ def serialize(result: Result) -> dict[str, Any]:
         own = [r for r in rows if all(r[c] == g[c] for c in GROUP)]
         if not any(r["value"] is not None for r in own):
             result.warnings.append(f"No data of {g['dataset']} remains in the requested region.")
-        groups.append({"group_id": g["group_id"], "repository": g["repository"], "dataset": g["dataset"], "units": g["units"], "data": _payload(result.query, own)})
+        groups.append({"group_id": g["group_id"], "repository": g["repository"], "dataset": g["dataset"], "variable": g["variable"], "grid_id": g["grid_id"], "additional_parameters": g["additional_parameters"], "units": g["units"], "coarseness_factor": g["coarseness_factor"], "data": _payload(result.query, own)})
     return {"query_id": query_id(result.query), "groups": groups, "warnings": result.warnings}
 
 

@@ -73,6 +73,28 @@ def display_bounds(west: float, east: float) -> tuple[float, float]:
     return (west, east) if east <= 180 else (-180.0, 180.0)
 
 
+def availability_listing(index: DataFrame, datasets: DataFrame, grids: DataFrame) -> DataFrame:
+    """What can be asked for: one ordered row per repository, dataset, variable and parameters.
+
+    Index rows of uncatalogued datasets and of grids without cells are left out.
+    ``west`` and ``east`` are meant for a map; resolutions are sorted, distinct and may be empty.
+    """
+    lon = F.pmod("lon", F.lit(360e0))
+    bounds = grids.groupBy("grid_id").agg(F.min(lon).alias("w"), F.max(lon).alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
+    key = ("repository", "dataset", "variable", "additional_parameters")
+    all_ = index.join(datasets, ["dataset_variant_id", "variable"]).join(bounds, "grid_id").groupBy(*key).agg(
+        F.min("w").alias("w"), F.max("e").alias("e"), F.round(F.min("s"), 3).alias("south"), F.round(F.max("n"), 3).alias("north"),
+        F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"),
+        *(F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in ("spatial_resolution", "temporal_resolution")),
+    )
+    w, e = F.col("w"), F.col("e")
+    around = e - w >= 359
+    west = F.when(around, F.lit(-180e0)).when(w >= 180, w - 360).when(e <= 180, w).otherwise(F.lit(-180e0))
+    east = F.when(around, F.lit(180e0)).when(w >= 180, e - 360).when(e <= 180, e).otherwise(F.lit(180e0))
+    made = all_.withColumns({"west": F.round(west, 3), "east": F.round(east, 3)})
+    return made.select(*key, "west", "east", "south", "north", "time_start", "time_end", "spatial_resolutions", "temporal_resolutions").orderBy(*key)
+
+
 def value_range(values: DataFrame, *groups: str) -> DataFrame:
     """Shared colour range of results with equal units; 0 to 1 without values."""
     return values.groupBy(*groups).agg(F.coalesce(F.min("value"), F.lit(0e0)).alias("low"), F.coalesce(F.max("value"), F.lit(1e0)).alias("high"))

@@ -535,6 +535,53 @@ def _spacing(spark, d):
     return metadata.axis_spacing(src.grid_daily(spark, d), "lat").select(r6("spacing"))
 
 
+_LISTED = f"""WITH {_INDEX}, {GRID}, d AS (SELECT 'src_a' AS dataset, 'lab' AS repository, '{{}}' AS additional_parameters, '1D' AS t UNION ALL SELECT 'src_r', 'lab', '{{"height":"15m"}}', NULL),
+    g AS (SELECT min(lon) AS w, max(lon) AS e, round(min(lat), 3) AS south, round(max(lat), 3) AS north FROM grid)"""
+
+
+@query("availability_listing", f"{_LISTED} SELECT repository, dataset, 'quantity' AS variable, additional_parameters, round(CASE WHEN e - w >= 359 THEN -180e0 WHEN w >= 180 THEN w - 360 WHEN e <= 180 THEN w ELSE -180e0 END, 3) AS west, round(CASE WHEN e - w >= 359 THEN 180e0 WHEN w >= 180 THEN e - 360 WHEN e <= 180 THEN e ELSE 180e0 END, 3) AS east, south, north, min(time_start) AS time_start, max(time_end) AS time_end, '0.5' AS spatial, coalesce(t, '') AS temporal FROM idx JOIN d USING (dataset), g GROUP BY ALL")
+def _listing(spark, d):
+    known = [("src_a", "quantity", "lab", "src_a", "{}", 0.5, "1D"), ("src_r", "quantity", "lab", "src_r", '{"height":"15m"}', 0.5, None), ("src_x", "quantity", "lab", "none", "{}", 1.0, "1H")]
+    datasets = spark.createDataFrame(known, "dataset_variant_id string, variable string, repository string, dataset string, additional_parameters string, spatial_resolution double, temporal_resolution string")
+    entries = index(spark, d).withColumnsRenamed({"dataset": "dataset_variant_id"}).withColumns({"variable": F.lit("quantity"), "grid_id": F.lit("daily")})
+    found = metadata.availability_listing(entries, datasets, src.grid_daily(spark, d).withColumn("grid_id", F.lit("daily")))
+    lists = {"spatial": "spatial_resolutions", "temporal": "temporal_resolutions"}
+    return found.withColumns({k: F.array_join(F.col(c).cast("array<string>"), ",") for k, c in lists.items()}).drop(*lists.values())
+
+
+@query("covered_cells", f"WITH {_INDEX}, b AS (SELECT DISTINCT dataset AS bucket_id, ts FROM daily), e AS (SELECT DISTINCT ts FROM daily), x AS (SELECT DISTINCT dataset AS bucket_id, ts FROM (SELECT DISTINCT dataset FROM daily), e) SELECT bucket_id, ts FROM x WHERE EXISTS (SELECT 1 FROM idx WHERE idx.dataset = bucket_id AND ts BETWEEN time_start AND time_end)")
+def _covered(spark, d):
+    """Expected (bucket, time) pairs that some partition holds; datasets stand for buckets, every time of the cube is expected of each."""
+    times, partitions = src.daily(spark, d).select("ts").distinct(), index(spark, d).withColumnRenamed("dataset", "bucket_id")
+    buckets = F.explode(F.array(*(F.lit(f"src_{x}") for x in ("a", "n", "r")))).alias("bucket_id")
+    return metadata.covered_cells(partitions, times.select(buckets, "ts"))
+
+
+@query("grid_periodicity", f"WITH {GRID} SELECT max(lon_hi) - min(lon_lo) >= 359 AS periodic FROM grid")
+def _periodic(spark, d):
+    return spatial.is_periodic(src.grid_daily(spark, d))
+
+
+@query("corner_unwrap", f"WITH {GRID} SELECT gy, gx, round(lon_hi + 180 - 360 * round((lon_hi + 180 - lon) / 360), 6) AS corner FROM grid")
+def _unwrap(spark, d):
+    return src.grid_daily(spark, d).select("gy", "gx", r6(geo.unwrap_longitude(F.col("lon_hi") + 180e0, F.col("lon")), "corner"))
+
+
+for _axis in ("lat", "lon"):
+
+    @query(f"axis_edges_{_axis}", f"WITH {GRID}, e AS (SELECT DISTINCT round({_axis}_lo, 6) AS edge FROM grid UNION SELECT round(max({_axis}_hi), 6) FROM grid) SELECT CAST(row_number() OVER (ORDER BY edge) - 1 AS INT) AS position, edge FROM e")
+    def _edges(spark, d, axis=_axis):
+        return spatial.axis_edges(src.grid_daily(spark, d), axis, (f"{axis}_lo", f"{axis}_hi")).select("position", r6("edge"))
+
+
+@query("clean_regridded_axes", f"WITH {GRID}, u AS (SELECT DISTINCT gy, lat, ((lon + 180) % 360) - 180 AS lon FROM grid) SELECT CAST(dense_rank() OVER (ORDER BY gy) - 1 AS INT) AS gy, CAST(dense_rank() OVER (ORDER BY lon) - 1 AS INT) AS gx, round(lat, 6) AS lat, round(lon, 6) AS lon FROM u")
+def _clean(spark, d):
+    """The daily grid with each column twice, once a whole turn further on, as a regridder may leave it."""
+    cells = src.grid_daily(spark, d).select("gy", "gx", "lat", "lon")
+    twice = cells.unionByName(cells.withColumns({"gx": F.col("gx") + 10, "lon": F.col("lon") + 360e0}))
+    return spatial.clean_axes(twice).select("gy", "gx", r6("lat"), r6("lon"))
+
+
 @query("estimate_cost", f"WITH {_INDEX} SELECT count(DISTINCT dataset) AS n_groups, count(*) AS n_blocks, CAST(sum((y_stop - y_start) * (x_stop - x_start)) AS BIGINT) AS n_cells FROM idx WHERE time_start <= TIMESTAMP '1996-12-31' AND time_end >= TIMESTAMP '1995-01-01'")
 def _cost(spark, d):
     found = index(spark, d).filter((F.col("time_start") <= F.lit(END).cast("timestamp_ntz")) & (F.col("time_end") >= F.lit(START).cast("timestamp_ntz")))

@@ -7,6 +7,8 @@ name, units, axis) first and from names last.
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,3 +121,25 @@ def standardize(source: DataFrame, variable: str, mapping: dict[str, str]) -> St
     else:
         area = cell_area(*(F.col(c) for c in ("lat_lo", "lat_hi", "lon_lo", "lon_hi")))
     return Standardized(placed.select("ts", "gy", "gx", "value"), cells.withColumn("cell_area", area), "projected" if projected else "rectilinear", name, constants)
+
+
+def write_standardized(made: Standardized, folder: str, record: dict, manifest: str, remove_sources: bool = False) -> dict:
+    """Write samples and grid to a folder of their own, then append the record to a manifest of JSON lines.
+
+    ``record`` names repository, dataset and ``file_paths``; the record that is
+    written has the output's path, the standard variable, the grid type and the constants instead.
+    Sources are removed last, and only if asked, so an error before leaves them.
+    """
+    spark = made.data.sparkSession
+    out = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    made.grid.write.parquet(f"{out}/grid")
+    made.data.write.parquet(f"{out}/data")
+    constants = {c: v for c, v in made.constants.items() if v is not None}
+    written = {k: v for k, v in record.items() if k != "file_paths"} | {"file_path": out, "variable": made.variable, "grid_type": made.grid_type, "constants": constants}
+    spark.createDataFrame([(json.dumps(written, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("append").text(manifest)
+    if remove_sources:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in dict.fromkeys(record["file_paths"]):
+            at = hadoop.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return written

@@ -10,6 +10,7 @@ read and planned with on the driver.
 from __future__ import annotations
 
 import json
+import posixpath
 import uuid
 from dataclasses import dataclass
 from datetime import datetime
@@ -154,6 +155,14 @@ class ProductStore:
 
     # --- products
 
+    def product_paths(self) -> list[str]:
+        """Distinct paths that the index names, ordered by time and path; a path that leaves the store is an error."""
+        rows = self.catalog("product_index").groupBy("relative_path").agg(F.min("time_start").alias("t")).orderBy("t", "relative_path").collect()
+        for r in rows:
+            if posixpath.isabs(r["relative_path"]) or posixpath.normpath(r["relative_path"]).split("/")[0] == "..":
+                raise ValueError(f"the product path {r['relative_path']!r} leaves the store")
+        return [f"{self.root}/{posixpath.normpath(r['relative_path'])}" for r in rows]
+
     def write_product(self, data: DataFrame, variant: str, variable: str, grid: str, time_unit: str, factor: int, native: str) -> int:
         """Write the storage periods of a product that aren't indexed yet; how many there were.
 

@@ -8,6 +8,7 @@ decision of the deduplication stages, which therefore keep them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from gridtide.llm import pieces, runtime
 from gridtide.llm.exact_dedup import drop_exact_duplicates
@@ -45,15 +46,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         own = runtime.fresh(docs.columns, "gone_id")
-        found = near_dedup(docs.select("doc_id", "text"), words=5, percent=80)
-        dropped = runtime.write_table(found.filter("NOT kept").select(F.col("doc_id").alias(own)), "dropped")
+        found = lambda: near_dedup(docs.select("doc_id", "text"), words=5, percent=80)
+        dropped = runtime.settled(lambda: found().filter("NOT kept").select(F.col("doc_id").alias(own)), "dropped")
         return runtime.without(docs, dropped, "doc_id", own, lambda x: x["doc_id"] == F.col(own))
     text, row = (runtime.fresh(docs.columns, c) for c in ("whole_text", "row_number"))
     keyed = docs.withColumn(text, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     keys = keyed.filter("doc_id IS NOT NULL").select("doc_id", text).distinct().orderBy("doc_id", text)
     keys = runtime.write_table(keys.withColumn(row, F.monotonically_increasing_id()), "rows")  # in the order of the ids
     numbered = runtime.write_table(keyed.join(keys, ["doc_id", text], "left"), "numbered")
-    dropped = near_dedup(numbered, words=5, percent=80, id_col=row).filter("NOT kept").select(row).distinct()
+    dropped = runtime.settled(lambda: near_dedup(numbered, words=5, percent=80, id_col=row).filter("NOT kept").select(row).distinct(), "dropped")
     return numbered.join(dropped, row, "left_anti").select(docs.columns)
 
 
@@ -88,8 +89,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again for the next."""
+    """All stages over ``documents``, each written and read again for the next; only what they return stays on disk."""
     docs = runtime.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = runtime.write_table(stage(spark, docs, sf_dir), f"stage_{name}")
+        docs = runtime.settled(partial(stage, spark, docs, sf_dir), f"stage_{name}")
     return docs

@@ -103,8 +103,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     that goes (``runtime.without``). Columns keep their names, whatever they are. Other cases: as ``exact_dedup``.
     """
     own_id, digest, whole = (runtime.fresh(docs.columns, c) for c in ("gone_id", "gone_digest", "whole_text"))
-    decided = exact_dedup(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    decided = runtime.write_table(decided.select("id", "kept", "text_sha256"), "decided")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    decided = runtime.settled(lambda: exact_dedup(texts, "id", "text").select("id", "kept", "text_sha256"), "decided")
     dropped = decided.filter("NOT kept AND id IS NOT NULL").select(F.col("id").alias(own_id), F.col("text_sha256").alias(digest)).distinct()
     same = lambda x: (x[id_col] == F.col(own_id)) & (F.sha2(normalised(text_col), 256) == F.col(digest))
     left = runtime.without(docs, dropped, id_col, own_id, same)

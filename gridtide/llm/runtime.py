@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import functools
 import os
 import tempfile
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 _written: list[tuple[SparkSession, str]] = []
+#: Of the innermost ``settled`` that is at work in this thread: the tables written on its way.
+_on_the_way: contextvars.ContextVar[list[tuple[SparkSession, str]] | None] = contextvars.ContextVar("on_the_way", default=None)
 
 
 @functools.cache
@@ -66,17 +69,41 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/gridtide-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    if (own := _on_the_way.get()) is not None:
+        own.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written by ``write_table``; the tables that ``make`` wrote on its way are then deleted.
+
+    Nothing but its result may be read later, so ``make`` must not hand out other DataFrames. If it fails, its tables stay
+    until the end, as others do.
+    """
+    own: list[tuple[SparkSession, str]] = []
+    outer = _on_the_way.set(own)
+    try:
+        df = make()
+    finally:
+        _on_the_way.reset(outer)
+    out = write_table(df, name)
+    for spark, path in own:
+        _delete(spark, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_written() -> None:
     """Delete every table that ``write_table`` wrote in this process."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended; the shared folder is then cleaned from outside
             return
 

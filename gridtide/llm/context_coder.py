@@ -1,4 +1,4 @@
-"""Adaptive context-mixing range coder for token ids.
+"""Context-mixing range coder for token ids.
 
 Ids are cut into blocks that are coded independently. Within a block three
 models predict the next id:
@@ -6,23 +6,22 @@ models predict the next id:
 - order 2 and order 1 predict the id that followed the last two ids, or the last
   one, when they stood there before in the block. Their tables keep the context itself beside
   the id, so a prediction is always made from the right context.
-- order 0 gives every id a frequency: that in the whole call, from a table in the head,
-  plus the ids counted in the block so far, taken over at ever longer distances.
+- order 0 gives every id the frequency that it has, in the whole call, where neither of the others was right.
 
 Which of them is right is itself predicted: for each state of confidence the
-block counts how often order 2, order 1 or neither was, and these counts mix the
-three. A range coder codes that choice, and an id by order 0 where neither of the others has it. Every block
-starts with empty tables and counts, and carries a checksum.
+call counts how often order 2, order 1 or neither was, and these counts mix the
+three. A range coder (asymmetric numerals) codes that choice, and an id by order 0 where neither of the others has it.
+Every block starts with empty tables, and carries a checksum.
 
 All blocks of a group are coded in lockstep, one numpy lane per block. An encoder
 knows all ids beforehand, so its predictions are made by sorting, without a loop over
-time; a decoder steps through the same tables. Coder registers are whole
-numbers below 2**49 in float64, where every step is exact.
+time; a decoder steps through the same tables. Choice and id together take 31 bits of
+slots, so a step moves at most one word of 32 bits, in or out.
 
 Layout (little-endian): magic, u32 ids in all, u32 ids per block, u32 blocks, u32
-distinct ids, u32 bytes of the deflated head (differences of the distinct ids as u32, then their
-frequencies as u16); the head; then per block u32 words and u32 CRC-32 of its ids as u32; then the words (u16)
-of all blocks.
+distinct ids, u32 bytes of the deflated head (differences of the distinct ids, then their
+slots, as u32, then order 2's and order 1's slots of each state, as u16); the head; then per block u32 words and u32 CRC-32
+of its ids; then the words (u32) of all blocks.
 """
 
 from __future__ import annotations
@@ -31,175 +30,120 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"GTCM0002"
+MAGIC = b"GTCM0003"
 #: Ids of a block, blocks that are coded in lockstep, and blocks that are modelled together when encoding.
-BLOCK_IDS, LANES, MODELLED = 4096, 2048, 64
+BLOCK_IDS, LANES, MODELLED = 4096, 2048, 32
 #: Ids are at most so large: 18 bits stand for one in the tables of contexts.
 MOST_ID = 262143
-_TOP, _LOW_HALF, _T = 2.0**48, 2.0**32, 65536.0
-_CHOICE, _SPREAD = 4096, 4000.0  # slots of the choice; those that counts share out
-_SLOTS = 1 << 20  # of order 0
-_PRIOR, _COUNT = 2500 << 8, 1 << 8  # weight of the whole call's frequencies, and of an id counted in the block
+_CHOICE_BITS, _ID_BITS = 11, 20  # slots of the choice, and of order 0
+_CHOICE, _SLOTS = 1 << _CHOICE_BITS, 1 << _ID_BITS
+_LEAST = 1 << 31  # a coder's register is never smaller between steps
 _BITS1, _BITS2 = 11, 12  # places of the context tables
-_K1, _K2 = 0x9E3779B97F4A7C15 - (1 << 64), 0x2545F4914F6CDD1D
-_STATES = 64
-_GROUP_NUMBERS = 1 << 23  # entries of all lanes' order-0 tables
-
-
-def _epochs(block_ids: int) -> list[int]:
-    """Steps at which order 0 takes over the block's counts: 256 apart at first, then ever further."""
-    out, t, step = [0], 256, 256
-    while t < block_ids:
-        out.append(t)
-        if len(out) % 3 == 0:
-            step *= 2
-        t += step
-    return out
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
+_STATES = 128
+_HAS2, _HAS1 = (np.arange(_STATES) >> 4) > 0, ((np.arange(_STATES) >> 1 & 7) > 0) & (np.arange(_STATES) & 1 == 0)
+_GROUP_NUMBERS = 1 << 24  # entries of all lanes' context tables
 
 
 def _place1(p1: np.ndarray) -> np.ndarray:
-    return ((p1 * _K1) >> 40) & ((1 << _BITS1) - 1)
+    return (p1 * _K1) >> np.uint64(64 - _BITS1)
 
 
 def _place2(pair: np.ndarray) -> np.ndarray:
-    return ((pair * _K2) >> 40) & ((1 << _BITS2) - 1)
-
-
-def _order0(prior: np.ndarray, counts: np.ndarray | None, stride: int = 0) -> np.ndarray:
-    """Cumulated slots, a row per lane (one row for all without counts), from 0 to ``_SLOTS``; padded to ``stride``."""
-    weight = np.maximum(prior * _PRIOR // prior.sum(), 1).astype(np.float64)[None, :]
-    if counts is not None:
-        weight = weight + counts * float(_COUNT)
-    width = weight.shape[1]
-    weight *= (_SLOTS - width) / weight.sum(1, keepdims=True)
-    freq = weight.astype(np.int32)
-    freq += 1
-    freq[np.arange(len(freq)), freq.argmax(1)] += _SLOTS - freq.sum(1)
-    out = np.full((len(freq), max(stride, width + 1)), _SLOTS, np.int32)
-    out[:, 0] = 0
-    np.cumsum(freq, 1, out=out[:, 1 : width + 1])
-    return out
+    return (pair * _K2) >> np.uint64(64 - _BITS2)
 
 
-def _counted(lane: np.ndarray, x: np.ndarray, lanes: int, width: int) -> np.ndarray:
-    return np.bincount(lane * width + x, minlength=lanes * width).reshape(lanes, width).astype(np.int32)
+def _shared(counts: np.ndarray, slots: int) -> np.ndarray:
+    """``slots`` shared out by ``counts``: whole numbers that sum up to it, 1 at least."""
+    freq = 1 + (counts * ((slots - len(counts)) / max(int(counts.sum()), 1))).astype(np.int64)
+    freq[freq.argmax()] += slots - freq.sum()
+    return freq
 
 
-def _mixed(n: np.ndarray, a: np.ndarray, b: np.ndarray, has2: np.ndarray, has1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of order 2 and of order 1 after ``n`` visits of the state, of which ``a`` and ``b`` were theirs."""
-    unit = _SPREAD / (2 * n + has2 + has1 + 2)
-    return np.floor((2 * a + has2) * unit) + has2, np.floor((2 * b + has1) * unit) + has1
+def _choices(counts: np.ndarray) -> np.ndarray:
+    """Slots of neither, order 1 and order 2: a row per state, from how often each was right; none where there is no prediction."""
+    out = np.zeros((_STATES, 3), np.int64)
+    for state, own in enumerate(counts):
+        some = np.flatnonzero([True, _HAS1[state], _HAS2[state]])
+        out[state, some] = _shared(own[some], _CHOICE)
+    return out
+
+
+def _lane_groups(lanes: int) -> list[tuple[int, int]]:
+    size = max(1, min(LANES, _GROUP_NUMBERS // ((1 << _BITS1) + (1 << _BITS2))))
+    return [(a, min(a + size, lanes)) for a in range(0, lanes, size)]
 
 
 # --- encoding
 
 
-def _followed(table: np.ndarray, context: np.ndarray, x: np.ndarray, step: np.ndarray, block_ids: int) -> tuple[np.ndarray, np.ndarray]:
-    """What the place ``table`` predicts at each step (-1: nothing), and its confidence (0: none, then 1 to 4)."""
-    shift = int(block_ids - 1).bit_length()
-    order = np.sort((table << shift) | step)
-    order = (order >> shift >> _BITS2) * block_ids + (order & ((1 << shift) - 1))  # lane and step
+def _followed(place: np.ndarray, bits: int, context: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``place`` of a lane's table predicts at each step (-1: nothing), and its confidence (0: none, then 1 to 4)."""
+    shift = int(len(x) - 1).bit_length()
+    at = np.arange(len(x), dtype=np.int64)
+    key = (((at // n) << bits) + place.astype(np.int64)) << shift | at
+    key.sort()
+    order = key & ((1 << shift) - 1)
     own, seen = context[order], x[order]
     same = np.zeros(len(order), bool)
-    same[1:] = (own[1:] == own[:-1]) & (table[order[1:]] == table[order[:-1]])
+    same[1:] = (own[1:] == own[:-1]) & ((key[1:] ^ key[:-1]) < (1 << shift))
     hit = same.copy()
     hit[1:] &= seen[1:] == seen[:-1]
-    at = np.arange(len(order))
     run = at - np.maximum.accumulate(np.where(hit, -1, at))
-    said, sure = np.full(len(order), -1, np.int64), np.zeros(len(order), np.int64)
-    sure[order[1:]] = np.where(same[1:], np.minimum(run[:-1], 3) + 1, 0)
-    said[order[1:]] = np.where(same[1:], seen[:-1], -1)
+    said, sure = np.empty(len(order), np.int32), np.empty(len(order), np.uint8)
+    now, past = np.zeros(len(order), np.uint8), np.full(len(order), -1, np.int32)
+    now[1:] = (np.minimum(run[:-1], 3) + 1) * same[1:]
+    past[1:] = np.where(same[1:], seen[:-1], -1)
+    sure[order], said[order] = now, past
     return said, sure
 
 
-def _model(x: np.ndarray, block_ids: int, width: int, prior: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Start and slots of the choice, start and slots of order 0 (0 and ``_SLOTS`` where it isn't asked): a row per block."""
+def _model(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """State, and who is right (0: neither, 1: order 1, 2: order 2), at each id: a row per block."""
     lanes, n = x.shape
-    flat, lane = x.ravel(), np.repeat(np.arange(lanes), n)
-    step = np.tile(np.arange(n), lanes)
-    before = np.full((lanes, n + 2), width, np.int64)
+    flat = x.ravel()
+    before = np.full((lanes, n + 2), width, np.uint64)
     before[:, 2:] = x
-    p1, p2 = before[:, 1:-1].ravel(), before[:, :-2].ravel()
-    pair = p1 * (width + 1) + p2
-    c1, f1 = _followed((lane << _BITS2) + _place1(p1), p1, flat, step, n)
-    c2, f2 = _followed((lane << _BITS2) + _place2(pair), pair, flat, step, n)
-    agree = (c1 == c2) & (f1 > 0)
-    hit2, hit1 = (c2 == flat) & (f2 > 0), (c1 == flat) & (f1 > 0) & ~agree
-    has2, has1 = f2 > 0, (f1 > 0) & ~agree
-    del c1, c2, p1, p2, pair, before
-    shift = int(n - 1).bit_length()
-    group = lane * _STATES + f2 * 10 + f1 * 2 + agree
-    order = np.sort((group << shift) | step)
-    new = np.concatenate([[True], (order[1:] >> shift) != (order[:-1] >> shift)])
-    order = (order >> shift) // _STATES * n + (order & ((1 << shift) - 1))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-
-    def so_far(h: np.ndarray) -> np.ndarray:
-        own = h[order]
-        total = np.cumsum(own) - own
-        return total - total[first]
-
-    w2, w1 = (np.empty(len(flat)) for _ in range(2))
-    w2[order], w1[order] = _mixed(np.arange(len(order)) - first, so_far(hit2), so_far(hit1), has2[order], has1[order])
-    start = np.where(hit2, 0, np.where(hit1, w2, w2 + w1))
-    slots = np.where(hit2, w2, np.where(hit1, w1, _CHOICE - w2 - w1))
-    missed = ~(hit2 | hit1)
-    low, wide = np.zeros((lanes, n), np.int32), np.full((lanes, n), _SLOTS, np.int32)
-    missed = missed.reshape(lanes, n)
-    counts, edges = np.zeros((lanes, width), np.int32), [*_epochs(n), n]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        table = np.broadcast_to(_order0(prior, counts if a else None), (lanes, width + 1))
-        own = x[:, a:b]
-        at, to = np.take_along_axis(table, own, 1), np.take_along_axis(table, own + 1, 1)
-        low[:, a:b], wide[:, a:b] = np.where(missed[:, a:b], at, 0), np.where(missed[:, a:b], to - at, _SLOTS)
-        if b < n:
-            counts += _counted(np.repeat(np.arange(lanes), b - a), own.ravel(), lanes, width)
-    shape = (lanes, n)
-    return start.reshape(shape).astype(np.uint16), slots.reshape(shape).astype(np.uint16), low, wide
-
-
-def _coded(parts: list[tuple[np.ndarray, ...]], n: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of each block, one after another, and how many each has. Only the last block may be shorter: ``last`` ids."""
-    start, slots, low0, slots0 = (np.ascontiguousarray(np.concatenate(x).T) for x in zip(*parts, strict=True))
-    lanes = start.shape[1]
-    low, span = np.zeros(lanes), np.full(lanes, _TOP)
-    room = n * 2 + 8
-    out, base, pos = np.zeros(lanes * room, np.uint32), np.arange(lanes, dtype=np.int64) * room, np.zeros(lanes, np.int64)
-    asked = slots0 < _SLOTS
-    for t in range(n if lanes > 1 else last):
-        m = lanes if t < last else lanes - 1
-        lo, sp, ps, bs = low[:m], span[:m], pos[:m], base[:m]
-        unit = np.floor(sp * (1 / _CHOICE))
-        lo += start[t, :m] * unit
-        sp[:] = slots[t, :m] * unit
-        unit = np.where(asked[t, :m], np.floor(sp * (1 / _SLOTS)), sp * (1 / _SLOTS))
-        lo += low0[t, :m] * unit
-        sp[:] = slots0[t, :m] * unit
-        small = np.flatnonzero(sp < _LOW_HALF)
-        while len(small):
-            own = lo[small]
-            word = np.floor(own * (1 / _LOW_HALF))
-            out[bs[small] + ps[small]] = word
-            lo[small] = (own - word * _LOW_HALF) * _T
-            wider = sp[small] * _T
-            sp[small] = wider
-            ps[small] += 1
-            small = small[wider < _LOW_HALF]
-    for _ in range(3):
-        word = np.floor(low * (1 / _LOW_HALF))
-        out[base + pos] = word
-        low = (low - word * _LOW_HALF) * _T
-        pos += 1
+    p1 = before[:, 1:-1].ravel()
+    pair = p1 * np.uint64(width + 1) + before[:, :-2].ravel()
+    c1, f1 = _followed(_place1(p1), _BITS1, p1, flat, n)
+    c2, f2 = _followed(_place2(pair), _BITS2, pair, flat, n)
+    agree = c1 == c2
+    right = np.where(c2 == flat, 2, c1 == flat).astype(np.uint8)
+    return (f2 << 4 | f1 << 1 | agree).reshape(lanes, n), right.reshape(lanes, n)
+
+
+def _coded(choice: tuple[np.ndarray, ...], order0: tuple[np.ndarray, ...], n: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each block, one after another, and how many each has. Only the last block may be shorter: ``last`` ids.
+
+    Slots and their start, of the choice and of order 0, a row per step; order 0 has all its slots where it isn't asked.
+    """
+    wide1, start1 = choice
+    wide0, start0 = order0
+    lanes = wide1.shape[1]
+    reg = np.full(lanes, _LEAST, np.uint64)
+    room = n + 2
+    out, pos = np.zeros(lanes * room, np.uint32), np.arange(1, lanes + 1, dtype=np.int64) * room
+    half = np.uint64(32)
+    for t in range(n - 1, -1, -1):
+        m = lanes if t < last or lanes == 1 else lanes - 1
+        if t >= last and lanes == 1:
+            continue
+        x, f1, f0 = reg[:m], wide1[t, :m].astype(np.uint64), wide0[t, :m].astype(np.uint64)
+        high = x >> half
+        full = np.flatnonzero(high >= f1 * f0)
+        if len(full):
+            pos[full] -= 1
+            out[pos[full]] = x[full].astype(np.uint32)  # its low half
+            x[full] = high[full]
+        x += (x // f0) * (np.uint64(_SLOTS) - f0) + start0[t, :m]
+        x += (x // f1) * (np.uint64(_CHOICE) - f1) + start1[t, :m]
+    for part in (reg, reg >> half):
+        pos -= 1
+        out[pos] = part.astype(np.uint32)
     words = out.reshape(lanes, room)
-    while (carry := words >> np.uint32(16)).any():
-        words &= np.uint32(0xFFFF)
-        words[:, :-1] += carry[:, 1:]
-    return words[np.arange(room) < pos[:, None]].astype("<u2"), pos
-
-
-def _lane_groups(lanes: int, width: int) -> list[tuple[int, int]]:
-    size = max(1, min(LANES, _GROUP_NUMBERS // (width + 1)))
-    return [(a, min(a + size, lanes)) for a in range(0, lanes, size)]
+    first = pos - np.arange(lanes) * room
+    return words[np.arange(room) >= first[:, None]].astype("<u4"), room - first
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
@@ -211,27 +155,35 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     if not lanes:
         return MAGIC + np.array([0, block_ids, 0, 0, 0], "<u4").tobytes()
     sums = [zlib.crc32(ids[k : k + block_ids]) for k in range(0, len(ids), block_ids)]
-    counts = np.bincount(ids)
-    names = np.flatnonzero(counts)
-    dense = np.zeros(len(counts), np.int64)
+    names = np.flatnonzero(np.bincount(ids))
+    dense = np.zeros(int(names[-1]) + 1, np.int32)
     dense[names] = np.arange(len(names))
-    counts = counts[names]
-    prior = np.maximum(counts * 65535 // counts.max(), 1)
-    head = zlib.compress(np.diff(names, prepend=0).astype("<u4").tobytes() + prior.astype("<u2").tobytes(), 9)
-    last, table, words = len(ids) - (lanes - 1) * block_ids, [], []
+    last, width = len(ids) - (lanes - 1) * block_ids, len(names)
     n = block_ids if lanes > 1 else last
-    for a, b in _lane_groups(lanes, len(names)):
-        parts = []
-        for c in range(a, b, MODELLED):
-            own = ids[c * block_ids : min(c + MODELLED, b) * block_ids]
-            x = np.zeros((min(c + MODELLED, b) - c) * n, np.int64)
-            x[: len(own)] = dense[own]
-            parts.append(_model(x.reshape(-1, n), n, len(names), prior.astype(np.int64)))
-        coded, pos = _coded(parts, n, last if b == lanes else n)
+    x = np.zeros(lanes * n, np.int32)
+    x[: len(ids)] = dense[ids]
+    x = x.reshape(lanes, n)
+    state, right = np.empty((lanes, n), np.uint8), np.empty((lanes, n), np.uint8)
+    for a in range(0, lanes, MODELLED):
+        state[a : a + MODELLED], right[a : a + MODELLED] = _model(x[a : a + MODELLED], width)
+    used = slice(0, len(ids))
+    missed = x.ravel()[used][right.ravel()[used] == 0]
+    slots = _shared(np.bincount(missed, minlength=width), _SLOTS)
+    choices = _choices(np.bincount(state.ravel()[used].astype(np.int64) * 3 + right.ravel()[used], minlength=3 * _STATES).reshape(_STATES, 3))
+    head = np.diff(names, prepend=0).astype("<u4").tobytes() + slots.astype("<u4").tobytes() + choices[:, :0:-1].astype("<u2").tobytes()
+    head = zlib.compress(head, 9)
+    wide0, start0 = np.append(slots, _SLOTS).astype(np.uint32), np.append(np.cumsum(slots) - slots, 0).astype(np.uint32)
+    wide1 = choices.astype(np.uint16).ravel()
+    start1 = (np.cumsum(choices[:, ::-1], 1)[:, ::-1] - choices).astype(np.uint16).ravel()  # order 2 first, then order 1, then neither
+    table, words = [], []
+    for a, b in _lane_groups(lanes):
+        asked = np.ascontiguousarray(np.where(right[a:b] == 0, x[a:b], width).T)
+        who = np.ascontiguousarray((state[a:b].astype(np.int16) * 3 + right[a:b]).T)
+        coded, pos = _coded((wide1[who], start1[who]), (wide0[asked], start0[asked]), n, last if b == lanes else n)
         words.append(coded.tobytes())
         table += pos.tolist()
     blocks = np.stack([np.array(table, np.int64), np.array(sums, np.int64)], 1).astype("<u4").tobytes()
-    return b"".join([MAGIC, np.array([len(ids), block_ids, lanes, len(names), len(head)], "<u4").tobytes(), head, blocks, *words])
+    return b"".join([MAGIC, np.array([len(ids), block_ids, lanes, width, len(head)], "<u4").tobytes(), head, blocks, *words])
 
 
 # --- decoding
@@ -250,19 +202,23 @@ def decode(data: bytes) -> np.ndarray:
         head = zlib.decompress(data[28 : 28 + size])
     except zlib.error as e:
         raise ValueError("the head is damaged") from e
-    if not width or len(head) != 6 * width:
+    if not width or len(head) != 8 * width + 4 * _STATES:
+        raise ValueError("the head is damaged")
+    names, slots = np.frombuffer(head, "<u4", 2 * width).astype(np.int64).reshape(2, width)
+    names = np.cumsum(names)
+    by_state = np.frombuffer(head, "<u2", 2 * _STATES, 8 * width).astype(np.int64).reshape(_STATES, 2)
+    if slots.sum() != _SLOTS or not slots.all() or (by_state.sum(1) > _CHOICE).any() or by_state[~_HAS2, 0].any() or by_state[~_HAS1, 1].any():
         raise ValueError("the head is damaged")
-    names, prior = np.cumsum(np.frombuffer(head, "<u4", width).astype(np.int64)), np.frombuffer(head, "<u2", width, 4 * width).astype(np.int64)
     table = np.frombuffer(data, "<u4", 2 * lanes, 28 + size).reshape(lanes, 2).astype(np.int64)
     kept = np.frombuffer(data[28 + size + 8 * lanes :], np.uint8)
-    if len(kept) != 2 * table[:, 0].sum() or names[-1] > MOST_ID:
+    if len(kept) != 4 * table[:, 0].sum() or (table[:, 0] < 2).any() or names[-1] > MOST_ID:
         raise ValueError("the coded words are cut off")
-    kept, at, out = kept.view("<u2"), np.concatenate([[0], np.cumsum(table[:, 0])]), []
+    kept, at, out = kept.view("<u4"), np.concatenate([[0], np.cumsum(table[:, 0])]), []
     last = n - (lanes - 1) * block_ids
     steps = block_ids if lanes > 1 else last
-    for a, b in _lane_groups(lanes, width):
-        x = _decoded(kept[at[a] : at[b]], table[a:b, 0], steps, last if b == lanes else steps, width, prior)
-        out.append(names[x].astype("<u4"))
+    for a, b in _lane_groups(lanes):
+        x = _decoded(kept[at[a] : at[b]], table[a:b, 0], steps, last if b == lanes else steps, slots, by_state)
+        out.append(names[x.T].astype("<u4"))
     ids = np.ascontiguousarray(np.concatenate(out).ravel()[:n])
     for i in range(lanes):
         if zlib.crc32(ids[i * block_ids : (i + 1) * block_ids]) != table[i, 1]:
@@ -270,80 +226,56 @@ def decode(data: bytes) -> np.ndarray:
     return ids
 
 
-def _decoded(kept: np.ndarray, lens: np.ndarray, n: int, last: int, width: int, prior: np.ndarray) -> np.ndarray:
-    """Places of ids in the table of distinct ones, a row per block."""
-    lanes, room = len(lens), int(lens.max()) + 4
-    words = np.zeros((lanes, room))
-    words[np.arange(room) < lens[:, None]] = kept
-    words = words.ravel()
-    base = np.arange(lanes, dtype=np.int64) * room
-    limit, pos = base + room - 1, base + 3
-    code = words[base] * _LOW_HALF + words[base + 1] * _T + words[base + 2]
-    span, out = np.full(lanes, _TOP), np.zeros((n, lanes), np.int64)
-    lane = np.arange(lanes, dtype=np.int64)
-    bits = int(width).bit_length()
-    base1, base2, base_state, base0 = lane << _BITS1, lane << _BITS2, lane * _STATES, lane << bits
-    halves = [1 << k for k in range(bits - 1, -1, -1)]
-    table1, table2 = np.full(lanes << _BITS1, -1, np.int64), np.full(lanes << _BITS2, -1, np.int64)
-    seen, seen2, seen1 = (np.zeros(lanes * _STATES) for _ in range(3))
-    counts, epochs = np.zeros((lanes, width), np.int32), set(_epochs(n))
-    p1 = np.full(lanes, width, np.int64)
-    pair = p1 * (width + 1) + width
-    since = 0
+def _decoded(words: np.ndarray, lens: np.ndarray, n: int, last: int, slots: np.ndarray, by_state: np.ndarray) -> np.ndarray:
+    """Places of ids in the table of distinct ones, a row per step."""
+    u = np.uint64
+    lanes, width = len(lens), len(slots)
+    stops = np.cumsum(lens)
+    pos, limit = stops - lens + 2, stops - 1
+    reg = words[pos - 2].astype(u) << u(32) | words[pos - 1]
+    # for each state and slot of the choice: who is right (2 bits), their slots (12), the slot less the start
+    wide = np.concatenate([by_state, _CHOICE - by_state.sum(1, keepdims=True)], 1)
+    who = np.repeat(np.tile([2, 1, 0], _STATES), wide.ravel())
+    inside = np.tile(np.arange(_CHOICE), _STATES) - np.repeat((np.cumsum(wide, 1) - wide).ravel(), wide.ravel())
+    choice = (who | np.repeat(wide.ravel(), wide.ravel()) << 2 | inside << 14).astype(np.uint32)
+    id_of = np.repeat(np.arange(width, dtype=np.int32), slots)
+    slots_of, start_of = slots.astype(u), (np.cumsum(slots) - slots).astype(u)
+    lane = np.arange(lanes, dtype=np.uint64)
+    base1, base2 = lane << u(_BITS1), lane << u(_BITS2)
+    table1, table2 = (np.full(lanes << bits, ~u(0), u) for bits in (_BITS1, _BITS2))  # context, id (18 bits), confidence (3)
+    none = u(1 << 21)  # no prediction: an id that can't be, no confidence
+    out = np.zeros((n, lanes), np.uint32)
+    p1 = np.full(lanes, width, u)
+    pair = p1 * u(width + 1) + p1
     for t in range(n if lanes > 1 else last):
         m = lanes if t < last else lanes - 1
-        if t in epochs:
-            if t:
-                counts += _counted(np.tile(lane[:m], t - since), out[since:t, :m].ravel(), lanes, width)
-            cum = np.broadcast_to(_order0(prior, counts if t else None, 1 << bits), (lanes, 1 << bits)).ravel()
-            since = t
-        cd, sp, ps = code[:m], span[:m], pos[:m]
-        c1, c2 = p1[:m], pair[:m]
-        at1, at2 = base1[:m] + _place1(c1), base2[:m] + _place2(c2)
-        e1, e2 = table1[at1], table2[at2]
-        has1, has2 = (e1 >> 20) == c1, (e2 >> 20) == c2
-        x1, x2 = (e1 >> 2) & MOST_ID, (e2 >> 2) & MOST_ID
-        agree = has1 & has2 & (x1 == x2)
-        state = base_state[:m] + ((e2 & 3) + 1) * has2 * 10 + ((e1 & 3) + 1) * has1 * 2 + agree
-        n0, n2, n1 = seen[state], seen2[state], seen1[state]
-        w2, w1 = _mixed(n0, n2, n1, has2, has1 & ~agree)
-        known = w2 + w1
-        unit = np.floor(sp * (1 / _CHOICE))
-        v = np.floor(cd / unit)
-        hit2 = v < w2
-        hit = v < known
-        missed = np.flatnonzero(~hit)
-        cd -= (w2 * ~hit2 + w1 * ~hit) * unit
-        np.multiply(np.where(hit2, w2, np.where(hit, w1, _CHOICE - known)), unit, out=sp)
-        x = np.where(hit2, x2, x1)
+        s, c1, c2 = reg[:m], p1[:m], pair[:m]
+        at1, at2 = (_place1(c1) + base1[:m]).view(np.int64), (_place2(c2) + base2[:m]).view(np.int64)
+        c1, c2 = c1 << u(21), c2 << u(21)
+        d1, d2 = np.minimum(table1[at1] ^ c1, none), np.minimum(table2[at2] ^ c2, none)
+        x1, x2, f1, f2 = d1 >> u(3), d2 >> u(3), d1 & u(7), d2 & u(7)
+        state = f2 << u(4) | f1 << u(1) | (x1 == x2)
+        own = choice[(state << u(_CHOICE_BITS) | s & u(_CHOICE - 1)).view(np.int64)]
+        s >>= u(_CHOICE_BITS)
+        s *= own >> 2 & 0xFFF
+        s += own >> 14
+        own &= 3
+        x = np.where(own == 2, x2, x1)
+        missed = np.flatnonzero(own == 0)
         if len(missed):
-            unit = np.floor(sp[missed] * (1 / _SLOTS))
-            own = cd[missed]
-            v = np.minimum(own / unit, _SLOTS - 1).astype(np.int32)
-            found = base0[missed]
-            for half in halves:  # the last id whose slots begin at v or before
-                found += half * (cum[found + half] <= v)
-            low = cum[found]
-            cd[missed] = own - low * unit
-            sp[missed] = (cum[found + 1] - low) * unit
-            x[missed] = found - base0[missed]
-            if (x < 0).any() or (x >= width).any():
-                raise ValueError("a coded block is damaged")
-        small = np.flatnonzero(sp < _LOW_HALF)
-        while len(small):
-            cd[small] = cd[small] * _T + words[np.minimum(ps[small], limit[small])]
-            wider = sp[small] * _T
-            sp[small] = wider
-            ps[small] += 1
-            small = small[wider < _LOW_HALF]
-            if len(small) and (not wider.all() or (ps > limit[:m] + 8).any()):
-                raise ValueError("a coded block is damaged")
+            part = s[missed]
+            slot = part & u(_SLOTS - 1)
+            found = id_of[slot.view(np.int64)]
+            s[missed] = (part >> u(_ID_BITS)) * slots_of[found] + slot - start_of[found]
+            x[missed] = found
+        small = np.flatnonzero(s < _LEAST)
+        if len(small):
+            ps = pos[small]
+            s[small] = s[small] << u(32) | words[np.minimum(ps, limit[small])]
+            pos[small] = ps + 1
         out[t, :m] = x
-        seen[state], seen2[state], seen1[state] = n0 + 1, n2 + hit2, n1 + (hit & ~hit2)
-        x <<= 2
-        table1[at1] = (c1 << 20) | x | (np.minimum((e1 & 3) + 1, 3) * (has1 & (x1 << 2 == x)))
-        table2[at2] = (c2 << 20) | x | (np.minimum((e2 & 3) + 1, 3) * (has2 & (x2 << 2 == x)))
-        x >>= 2
-        pair[:m] = x * (width + 1) + c1
+        table1[at1] = c1 | x << u(3) | np.minimum(f1 * (x1 == x) + u(1), u(4))
+        table2[at2] = c2 | x << u(3) | np.minimum(f2 * (x2 == x) + u(1), u(4))
+        pair[:m] = x * u(width + 1) + p1[:m]
         p1[:m] = x
-    return out.T
+    return out

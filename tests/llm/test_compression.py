@@ -41,3 +41,11 @@ def test_wide_vocabularies_are_coded_in_several_groups(monkeypatch):
     rng = np.random.default_rng(3)
     ids = np.concatenate([rng.integers(0, 262144, 900), rng.integers(0, 5, 3000)])
     assert (context_coder.decode(context_coder.encode(ids, 256)) == ids).all()
+
+
+def test_a_wide_vocabulary_does_not_narrow_the_lockstep(monkeypatch):
+    """Tables of a lane don't grow with the distinct ids, so all blocks of a call are decoded in one loop."""
+    ids, calls, decoded = np.random.default_rng(7).permutation(262144), [], context_coder._decoded
+    monkeypatch.setattr(context_coder, "_decoded", lambda *x: calls.append(1) or decoded(*x))
+    assert (context_coder.decode(context_coder.encode(ids, 512)) == ids).all()
+    assert len(calls) == 1

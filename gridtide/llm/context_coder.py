@@ -33,6 +33,7 @@ import numpy as np
 MAGIC = b"GTCM0003"
 #: Ids of a block, blocks that are coded in lockstep, and blocks that are modelled together when encoding.
 BLOCK_IDS, LANES, MODELLED = 4096, 2048, 32
+_STEPS = 64  # whose slots are looked up together when encoding
 #: Ids are at most so large: 18 bits stand for one in the tables of contexts.
 MOST_ID = 262143
 _CHOICE_BITS, _ID_BITS = 11, 20  # slots of the choice, and of order 0
@@ -42,6 +43,8 @@ _BITS1, _BITS2 = 11, 12  # places of the context tables
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 _STATES = 128
 _HAS2, _HAS1 = (np.arange(_STATES) >> 4) > 0, ((np.arange(_STATES) >> 1 & 7) > 0) & (np.arange(_STATES) & 1 == 0)
+#: The state for each pair of confidences as the decoder holds them: order 1's in 3 bits, order 2's in 3, whether they differ.
+_BY_CONFIDENCE = (np.arange(_STATES) >> 3 & 7) << 4 | (np.arange(_STATES) & 7) << 1 | (np.arange(_STATES) < 64)
 _GROUP_NUMBERS = 1 << 24  # entries of all lanes' context tables
 
 
@@ -113,37 +116,50 @@ def _model(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (f2 << 4 | f1 << 1 | agree).reshape(lanes, n), right.reshape(lanes, n)
 
 
-def _coded(choice: tuple[np.ndarray, ...], order0: tuple[np.ndarray, ...], n: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+def _coded(x: np.ndarray, who: np.ndarray, slots: np.ndarray, choices: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
     """The words of each block, one after another, and how many each has. Only the last block may be shorter: ``last`` ids.
 
-    Slots and their start, of the choice and of order 0, a row per step; order 0 has all its slots where it isn't asked.
+    A row per block: the id that order 0 is asked for, or ``len(slots)``, and three times the state plus who is right.
     """
-    wide1, start1 = choice
-    wide0, start0 = order0
-    lanes = wide1.shape[1]
-    reg = np.full(lanes, _LEAST, np.uint64)
+    u = np.uint64
+    wide0, start0 = np.append(slots, _SLOTS).astype(u), np.append(np.cumsum(slots) - slots, 0).astype(u)  # where it isn't asked, order 0 has all its slots
+    wide1 = choices.astype(u).ravel()
+    start1 = (np.cumsum(choices[:, ::-1], 1)[:, ::-1] - choices).astype(u).ravel()  # order 2 first, then order 1, then neither
+    lanes, n = x.shape
+    reg, half = np.full(lanes, _LEAST, u), np.full(lanes, 32, u)
     room = n + 2
     out, pos = np.zeros(lanes * room, np.uint32), np.arange(1, lanes + 1, dtype=np.int64) * room
-    half = np.uint64(32)
-    for t in range(n - 1, -1, -1):
-        m = lanes if t < last or lanes == 1 else lanes - 1
-        if t >= last and lanes == 1:
-            continue
-        x, f1, f0 = reg[:m], wide1[t, :m].astype(np.uint64), wide0[t, :m].astype(np.uint64)
-        high = x >> half
-        full = np.flatnonzero(high >= f1 * f0)
-        if len(full):
-            pos[full] -= 1
-            out[pos[full]] = x[full].astype(np.uint32)  # its low half
-            x[full] = high[full]
-        x += (x // f0) * (np.uint64(_SLOTS) - f0) + start0[t, :m]
-        x += (x // f1) * (np.uint64(_CHOICE) - f1) + start1[t, :m]
+    first = n if lanes > 1 else last
+    while first:
+        stop, first = first, max(last if first > last else 0, first - _STEPS)
+        m = lanes if stop <= last else lanes - 1
+        asked, chosen = np.ascontiguousarray(x[:m, first:stop].T), np.ascontiguousarray(who[:m, first:stop].T)
+        f0, f1, s0, s1 = wide0[asked], wide1[chosen], start0[asked], start1[chosen]
+        bound, more0, more1 = f0 * f1, u(_SLOTS) - f0, u(_CHOICE) - f1
+        own, by = reg[:m], half[:m]
+        for t in range(stop - first - 1, -1, -1):
+            high = own >> by
+            full = (high >= bound[t]).nonzero()[0]
+            if len(full):
+                at = pos[full]
+                at -= 1
+                pos[full] = at
+                out[at] = own[full].astype(np.uint32)  # its low half
+                own[full] = high[full]
+            part = own // f0[t]
+            part *= more0[t]
+            part += s0[t]
+            own += part
+            part = own // f1[t]
+            part *= more1[t]
+            part += s1[t]
+            own += part
     for part in (reg, reg >> half):
         pos -= 1
         out[pos] = part.astype(np.uint32)
     words = out.reshape(lanes, room)
-    first = pos - np.arange(lanes) * room
-    return words[np.arange(room) >= first[:, None]].astype("<u4"), room - first
+    begin = pos - np.arange(lanes) * room
+    return words[np.arange(room) >= begin[:, None]].astype("<u4", copy=False), room - begin
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
@@ -163,23 +179,22 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     x = np.zeros(lanes * n, np.int32)
     x[: len(ids)] = dense[ids]
     x = x.reshape(lanes, n)
-    state, right = np.empty((lanes, n), np.uint8), np.empty((lanes, n), np.uint8)
+    who, missed, counts = np.empty((lanes, n), np.uint16), np.zeros(width, np.int64), np.zeros(3 * _STATES, np.int64)
     for a in range(0, lanes, MODELLED):
-        state[a : a + MODELLED], right[a : a + MODELLED] = _model(x[a : a + MODELLED], width)
-    used = slice(0, len(ids))
-    missed = x.ravel()[used][right.ravel()[used] == 0]
-    slots = _shared(np.bincount(missed, minlength=width), _SLOTS)
-    choices = _choices(np.bincount(state.ravel()[used].astype(np.int64) * 3 + right.ravel()[used], minlength=3 * _STATES).reshape(_STATES, 3))
+        part = x[a : a + MODELLED]
+        state, right = _model(part, width)
+        own = who[a : a + MODELLED]
+        own[:] = state * np.uint16(3) + right
+        used = slice(0, len(ids) - a * n)  # without what fills the last block up
+        missed += np.bincount(part.ravel()[used][right.ravel()[used] == 0], minlength=width)
+        counts += np.bincount(own.ravel()[used], minlength=3 * _STATES)
+        part[right > 0] = width
+    slots, choices = _shared(missed, _SLOTS), _choices(counts.reshape(_STATES, 3))
     head = np.diff(names, prepend=0).astype("<u4").tobytes() + slots.astype("<u4").tobytes() + choices[:, :0:-1].astype("<u2").tobytes()
     head = zlib.compress(head, 9)
-    wide0, start0 = np.append(slots, _SLOTS).astype(np.uint32), np.append(np.cumsum(slots) - slots, 0).astype(np.uint32)
-    wide1 = choices.astype(np.uint16).ravel()
-    start1 = (np.cumsum(choices[:, ::-1], 1)[:, ::-1] - choices).astype(np.uint16).ravel()  # order 2 first, then order 1, then neither
     table, words = [], []
     for a, b in _lane_groups(lanes):
-        asked = np.ascontiguousarray(np.where(right[a:b] == 0, x[a:b], width).T)
-        who = np.ascontiguousarray((state[a:b].astype(np.int16) * 3 + right[a:b]).T)
-        coded, pos = _coded((wide1[who], start1[who]), (wide0[asked], start0[asked]), n, last if b == lanes else n)
+        coded, pos = _coded(x[a:b], who[a:b], slots, choices, last if b == lanes else n)
         words.append(coded.tobytes())
         table += pos.tolist()
     blocks = np.stack([np.array(table, np.int64), np.array(sums, np.int64)], 1).astype("<u4").tobytes()
@@ -213,12 +228,12 @@ def decode(data: bytes) -> np.ndarray:
     kept = np.frombuffer(data[28 + size + 8 * lanes :], np.uint8)
     if len(kept) != 4 * table[:, 0].sum() or (table[:, 0] < 2).any() or names[-1] > MOST_ID:
         raise ValueError("the coded words are cut off")
-    kept, at, out = kept.view("<u4"), np.concatenate([[0], np.cumsum(table[:, 0])]), []
+    names, kept, at, out = names.astype("<u4"), kept.view("<u4"), np.concatenate([[0], np.cumsum(table[:, 0])]), []
     last = n - (lanes - 1) * block_ids
     steps = block_ids if lanes > 1 else last
     for a, b in _lane_groups(lanes):
         x = _decoded(kept[at[a] : at[b]], table[a:b, 0], steps, last if b == lanes else steps, slots, by_state)
-        out.append(names[x.T].astype("<u4"))
+        out.append(names[x.T])
     ids = np.ascontiguousarray(np.concatenate(out).ravel()[:n])
     for i in range(lanes):
         if zlib.crc32(ids[i * block_ids : (i + 1) * block_ids]) != table[i, 1]:
@@ -227,55 +242,93 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def _decoded(words: np.ndarray, lens: np.ndarray, n: int, last: int, slots: np.ndarray, by_state: np.ndarray) -> np.ndarray:
-    """Places of ids in the table of distinct ones, a row per step."""
+    """Places of ids in the table of distinct ones, a row per step.
+
+    A step is bound by its calls and not by its lanes, so order 1 and order 2 are two rows of the same arrays.
+    """
     u = np.uint64
-    lanes, width = len(lens), len(slots)
-    stops = np.cumsum(lens)
-    pos, limit = stops - lens + 2, stops - 1
-    reg = words[pos - 2].astype(u) << u(32) | words[pos - 1]
-    # for each state and slot of the choice: who is right (2 bits), their slots (12), the slot less the start
+    lanes, width, half = len(lens), len(slots), u(32)
+    starts = np.cumsum(lens) - lens
+    pos = starts + 2
+    reg = words[starts].astype(u) << u(32) | words[starts + 1]
+    words = np.concatenate([words, np.zeros(n + 2, np.uint32)]).astype(u)  # a damaged lane may read on
+    # for each slot of the choice and confidence (order 1's in 3 bits, order 2's in 3, whether they differ): slots of who is right, the slot less the start (12 bits), who (2)
     wide = np.concatenate([by_state, _CHOICE - by_state.sum(1, keepdims=True)], 1)
     who = np.repeat(np.tile([2, 1, 0], _STATES), wide.ravel())
     inside = np.tile(np.arange(_CHOICE), _STATES) - np.repeat((np.cumsum(wide, 1) - wide).ravel(), wide.ravel())
-    choice = (who | np.repeat(wide.ravel(), wide.ravel()) << 2 | inside << 14).astype(np.uint32)
+    choice = (np.repeat(wide.ravel(), wide.ravel()) << 14 | inside << 2 | who).reshape(_STATES, _CHOICE)[_BY_CONFIDENCE].T.ravel().astype(np.uint32)
     id_of = np.repeat(np.arange(width, dtype=np.int32), slots)
     slots_of, start_of = slots.astype(u), (np.cumsum(slots) - slots).astype(u)
-    lane = np.arange(lanes, dtype=np.uint64)
-    base1, base2 = lane << u(_BITS1), lane << u(_BITS2)
-    table1, table2 = (np.full(lanes << bits, ~u(0), u) for bits in (_BITS1, _BITS2))  # context, id (18 bits), confidence (3)
-    none = u(1 << 21)  # no prediction: an id that can't be, no confidence
+    # a place of a table: context, id (18 bits), confidence (3 bits of order 2, 3 of order 1); no prediction is an id that can't be, with no confidence
+    table, none = np.full(lanes * ((1 << _BITS1) + (1 << _BITS2)), ~u(0), u), u(1 << 24)
+    grown, other = np.zeros(66, u), np.array([[64], [65]], u)
+    grown[[1, 2, 3, 4, 64]], grown[[8, 16, 24, 32, 65]] = [2, 3, 4, 4, 1], [16, 24, 32, 32, 8]
+    lane = np.arange(lanes, dtype=u)
+    base = np.stack([lane << u(_BITS1), (lane << u(_BITS2)) + u(lanes << _BITS1)])
     out = np.zeros((n, lanes), np.uint32)
-    p1 = np.full(lanes, width, u)
-    pair = p1 * u(width + 1) + p1
-    for t in range(n if lanes > 1 else last):
-        m = lanes if t < last else lanes - 1
-        s, c1, c2 = reg[:m], p1[:m], pair[:m]
-        at1, at2 = (_place1(c1) + base1[:m]).view(np.int64), (_place2(c2) + base2[:m]).view(np.int64)
-        c1, c2 = c1 << u(21), c2 << u(21)
-        d1, d2 = np.minimum(table1[at1] ^ c1, none), np.minimum(table2[at2] ^ c2, none)
-        x1, x2, f1, f2 = d1 >> u(3), d2 >> u(3), d1 & u(7), d2 & u(7)
-        state = f2 << u(4) | f1 << u(1) | (x1 == x2)
-        own = choice[(state << u(_CHOICE_BITS) | s & u(_CHOICE - 1)).view(np.int64)]
-        s >>= u(_CHOICE_BITS)
-        s *= own >> 2 & 0xFFF
-        s += own >> 14
-        own &= 3
-        x = np.where(own == 2, x2, x1)
-        missed = np.flatnonzero(own == 0)
-        if len(missed):
-            part = s[missed]
-            slot = part & u(_SLOTS - 1)
-            found = id_of[slot.view(np.int64)]
-            s[missed] = (part >> u(_ID_BITS)) * slots_of[found] + slot - start_of[found]
-            x[missed] = found
-        small = np.flatnonzero(s < _LEAST)
-        if len(small):
-            ps = pos[small]
-            s[small] = s[small] << u(32) | words[np.minimum(ps, limit[small])]
-            pos[small] = ps + 1
-        out[t, :m] = x
-        table1[at1] = c1 | x << u(3) | np.minimum(f1 * (x1 == x) + u(1), u(4))
-        table2[at2] = c2 | x << u(3) | np.minimum(f2 * (x2 == x) + u(1), u(4))
-        pair[:m] = x * u(width + 1) + p1[:m]
-        p1[:m] = x
+    before = np.full((2, lanes), width, u)  # the last id; the last two
+    before[1] += u(width * (width + 1))
+    for first, stop, m in ((0, last, lanes), (last, n if lanes > 1 else last, lanes - 1)):
+        s, before, base, pos = reg[:m], np.ascontiguousarray(before[:, :m]), np.ascontiguousarray(base[:, :m]), pos[:m]
+        # numpy takes whole arrays faster than numbers
+        zero, one, two, three, six, bits, slot_mask, id_bits, id_mask, state_bits, state_mask, most, inside_mask, wide_bits, least, pairs = (
+            np.full(m, x, u) for x in (0, 1, 2, 3, 6, _CHOICE_BITS, _CHOICE - 1, _ID_BITS, _SLOTS - 1, 7, 63, 64, 0xFFF, 14, _LEAST, width + 1)
+        )
+        factor, shift, other, up, down, nothing = (
+            np.repeat(np.array([[x], [y]], u), m, 1) for x, y in ((_K1, _K2), (64 - _BITS1, 64 - _BITS2), (64, 65), (24, 24), (6, 6), (none, none))
+        )
+        for t in range(first, stop):
+            place = before * factor
+            place >>= shift
+            place += base
+            place = place.view(np.int64)
+            context = before << up
+            said = table[place]
+            said ^= context
+            np.minimum(said, nothing, said)
+            state = said[0] ^ said[1]
+            key = s & slot_mask
+            key <<= state_bits
+            key |= state & state_mask
+            np.minimum(state, most, state)
+            state &= most
+            key |= state
+            own = choice[key.view(np.int64)].astype(u)
+            s >>= bits
+            s *= own >> wide_bits
+            inside = own >> two
+            inside &= inside_mask
+            s += inside
+            own &= three
+            slot = s & id_mask
+            found = id_of[slot.view(np.int64)].astype(np.int64)
+            part = s >> id_bits
+            part *= slots_of[found]
+            part += slot
+            part -= start_of[found]
+            np.copyto(s, part, where=own == zero)
+            x = found.view(u)
+            ids = said >> down
+            np.copyto(x, ids[0], where=own == one)
+            np.copyto(x, ids[1], where=own == two)
+            small = (s < least).nonzero()[0]
+            if len(small):
+                at = pos[small]
+                part = s[small]
+                part <<= half
+                part |= words[at]
+                s[small] = part
+                at += 1
+                pos[small] = at
+            out[t, :m] = x
+            own = x << six
+            said ^= own
+            np.minimum(said, other, said)
+            said = grown[said.view(np.int64)]
+            said |= own
+            said |= context
+            table[place] = said
+            pair = x * pairs
+            pair += before[0]
+            before[0], before[1] = x, pair
     return out

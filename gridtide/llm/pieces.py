@@ -19,6 +19,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import itertools
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -305,21 +306,15 @@ class PieceEncoder:
     def _encode(self, strings: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all strings in one array, and how many each has. ``plain`` ones are encoded together, as that is faster."""
         lens, own = np.zeros(len(strings), np.int64), [np.zeros(0, np.uint32)] * len(strings)
-        together = self._starts is not None or self._between is not None
-        rest = np.flatnonzero(~plain).tolist() if together else list(range(len(strings)))
-        if together:
+        rest = np.flatnonzero(~plain).tolist() if self._between is not None else list(range(len(strings)))
+        if self._between is not None:
             groups = np.flatnonzero(plain)
             groups = [groups[k : k + 256] for k in range(0, len(groups), 256)]
-            join = "" if self._starts is not None else f" {_BETWEEN} "
-            for g, ids in zip(groups, self._library([join.join(strings[k] for k in g) for g in groups]), strict=True):
+            for g, ids in zip(groups, self._library([f" {_BETWEEN} ".join(strings[k] for k in g) for g in groups]), strict=True):
                 ids = np.array(ids, np.uint32)
-                if self._starts is not None:
-                    at = np.flatnonzero(self._starts[ids])
-                    ends = np.append(at[1:], len(ids))
-                else:
-                    between = np.flatnonzero(ids == self._between)
-                    at, ends = np.append(0, between + 1), np.append(between, len(ids))
-                if len(at) != len(g) or at[0]:  # never seen; the pieces are then encoded one by one
+                between = np.flatnonzero(ids == self._between)
+                at, ends = np.append(0, between + 1), np.append(between, len(ids))
+                if len(at) != len(g):  # never seen; the pieces are then encoded one by one
                     rest += g.tolist()
                     continue
                 for k, a, b in zip(g.tolist(), at.tolist(), ends.tolist(), strict=True):
@@ -331,11 +326,48 @@ class PieceEncoder:
         lens[:] = [len(x) for x in own]
         return np.concatenate(own) if own else np.zeros(0, np.uint32), lens
 
+    def _encode_new(self, data: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces in one array, how many each has, and where they begin."""
+        plain = self._plain(data, starts, stops)
+        joined, counts, own = np.flatnonzero(plain), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        if self._starts is not None and len(joined):
+            own, counts, whole = self._joined(data, starts[joined], stops[joined])
+            joined, plain = joined[whole], np.zeros(len(plain), bool)
+        else:
+            joined = joined[:0]
+        alone = np.ones(len(starts), bool)
+        alone[joined] = False
+        rest = np.flatnonzero(alone)
+        strings = [raw[a:b].decode() for a, b in zip(starts[rest].tolist(), stops[rest].tolist(), strict=True)]
+        more, more_counts = self._encode(strings, plain[rest])
+        lens, where, order = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), np.concatenate([joined, rest])
+        lens[order] = ordered = np.concatenate([counts, more_counts])
+        where[order] = np.cumsum(ordered) - ordered
+        return np.concatenate([own, more]), lens, where
+
+    def _joined(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of plain pieces of kind ``byte``, encoded 256 together, how many each has, and for which pieces that holds.
+
+        No string is made of a single piece: the tokens that begin with a space tell where the next one begins.
+        """
+        ends = np.cumsum(stops - starts)
+        raw, edges = _gathered(data, starts, stops - starts).tobytes(), [0, *ends[255:-1:256].tolist(), int(ends[-1])]
+        found = self._library([raw[a:b].decode() for a, b in itertools.pairwise(edges)])
+        sizes = np.array([len(x) for x in found])
+        ids = np.concatenate([np.array(x, np.uint32) for x in found])
+        begins = self._starts[ids]
+        group, held = np.repeat(np.arange(len(found)), sizes), np.full(len(found), 256)
+        held[-1] = len(starts) - 256 * (len(found) - 1)
+        good = np.bincount(group[begins], minlength=len(found)) == held
+        good &= begins[np.cumsum(sizes) - sizes]
+        ids, begins = ids[good[group]], begins[good[group]]  # others were never seen; their pieces are then encoded one by one
+        at = np.flatnonzero(begins)
+        return ids, np.diff(np.append(at, len(ids))), np.repeat(good, held)
+
     def _learn(self, data: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, check: np.ndarray) -> None:
         """Encode new pieces (distinct by ``first``) and remember them."""
-        strings = [raw[a:b].decode() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-        flat, lens = self._encode(strings, self._plain(data, starts, stops))
-        end = self._n + len(strings)
+        flat, lens, where = self._encode_new(data, raw, starts, stops)
+        end = self._n + len(starts)
         while end > len(self._len):
             self._check, self._first, self._start, self._len, self._batches = (np.concatenate([x, np.zeros_like(x)]) for x in (self._check, self._first, self._start, self._len, self._batches))
         self._first[self._n : end], self._check[self._n : end], self._len[self._n : end] = first, check, lens
@@ -343,7 +375,7 @@ class PieceEncoder:
             while self._used + len(flat) > len(self._flat):
                 self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
             self._flat[self._used : self._used + len(flat)] = flat
-            self._start[self._n : end] = self._used + np.cumsum(lens) - lens
+            self._start[self._n : end] = self._used + where
             self._used += len(flat)
         self._place(first, np.arange(self._n, end, dtype=np.int32))
         self._n = end

@@ -1,5 +1,6 @@
 """The context-mixing coder on real documents, against zlib and the entropy of single ids; whole vocabularies; damage."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -49,3 +50,19 @@ def test_a_wide_vocabulary_does_not_narrow_the_lockstep(monkeypatch):
     monkeypatch.setattr(context_coder, "_decoded", lambda *x: calls.append(1) or decoded(*x))
     assert (context_coder.decode(context_coder.encode(ids, 512)) == ids).all()
     assert len(calls) == 1
+
+
+def test_coding_holds_few_bytes_an_id(ids):
+    """Slots are looked up for some steps at a time, so a shard can be long and its lockstep wide."""
+    some = np.tile(ids, -(-1_000_000 // len(ids)))[:1_000_000]
+    tracemalloc.start()
+    coded = context_coder.encode(some)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25 * len(some)
+    assert (context_coder.decode(coded) == some).all()
+
+
+@pytest.mark.parametrize("count", [1, 63, 64, 65, 4095, 4096, 4097, 4096 * 3 + 64, 4096 * 3 + 65])
+def test_last_blocks_of_any_length(ids, count):
+    assert (context_coder.decode(context_coder.encode(ids[:count])) == ids[:count]).all()

@@ -70,3 +70,22 @@ def test_end_id_and_byte_balance():
     assert ranges == [(0, 1), (1, 2), (2, 6)] and list(pieces.byte_balanced([])) == []
     column = pa.array(["é" * 3, None, "", "abc" * 4])
     assert list(pieces.text_batches(column, 8)) == [(0, 3, ["é" * 3, None, ""]), (3, 4, ["abc" * 4])]
+
+
+@pytest.mark.parametrize("untold", ["none", "some", "all"])
+def test_new_words_are_encoded_without_a_string_each(untold):
+    """Words are told apart by the tokens that begin with a space; where that fails they are encoded one by one."""
+    path = pieces.tokenizer_path("byte_bpe_50k.json")
+    own, single = pieces.PieceEncoder(path), []
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)} été{'x' * (k % 5)}q" for k in range(a, a + 300)) for a in (0, 150)] + ["", None, " end", "one"]
+    if untold == "some":
+        own._starts[own._lib.encode(" waa", add_special_tokens=False).ids[0]] = False
+    elif untold == "all":
+        own._starts[:] = False
+    encode = own._encode
+    own._encode = lambda strings, plain: single.extend(strings) or encode(strings, plain)
+    ids, lens = own.ids(texts)
+    whole = [own._lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert lens.tolist() == [len(x) for x in whole]
+    assert ids.tolist() == [i for x in whole for i in x]
+    assert untold != "none" or len(single) < 10
